@@ -135,13 +135,14 @@ def sets_to_labels(sets: DataFrame, name: str = "component") -> DataFrame:
     return sets.select(F.explode("members").alias("id"), F.col("index").alias(name))
 
 
-def largest_component(edges: DataFrame, labelled: DataFrame, name: str = "component"):
+def largest_component(
+    edges: DataFrame, labelled: DataFrame, name: str = "component", edge_rows: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """``(nodes, edges)`` of the component numbered 0.
 
     No edge leaves a component, so its source alone decides where an edge belongs.
     """
     nodes = labelled.filter(F.col(name) == 0).select("id")
-    inside = spread_join(
-        edges, nodes.withColumnRenamed("id", "source"), "source", "left_semi"
-    )
+    sources = nodes.withColumnRenamed("id", "source")
+    inside = spread_join(edges, sources, "source", "left_semi", facts_rows=edge_rows)
     return nodes, inside

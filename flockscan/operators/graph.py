@@ -71,7 +71,9 @@ def subgraph(edges: DataFrame, ids: DataFrame, edge_rows: int | None = None) ->
     )
 
 
-def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
+def modularity(
+    edges: DataFrame, labels: DataFrame, resolution: float = 1.0, edge_rows: int | None = None
+) -> DataFrame:
     """One row ``(modularity)`` of the labelling ``labels(id, label)``.
 
     Per community: its share of the edge weight, less ``resolution`` times the
@@ -79,7 +81,8 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     """
     starts = labels.select(F.col("id").alias("source"), F.col("label").alias("source_label"))
     stops = labels.select(F.col("id").alias("target"), F.col("label").alias("target_label"))
-    labelled = spread_join(spread_join(edges, starts, "source"), stops, "target")
+    labelled = spread_join(edges, starts, "source", facts_rows=edge_rows)
+    labelled = spread_join(labelled, stops, "target", facts_rows=edge_rows)
     same = F.col("source_label") == F.col("target_label")
     sides = F.array(
         F.struct(F.col("source_label").alias("label"), F.when(same, F.col("weight")).alias("inside")),
