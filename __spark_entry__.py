@@ -541,7 +541,7 @@ PROFILE_SQL = f"""
 
 def oracle_sql() -> dict[str, str]:
     epoch = """
-        SELECT event_id, CASE WHEN event_type <> 'error' THEN epoch_ms(ts) END AS created_at_ms
+        SELECT event_id, CASE WHEN event_type <> 'error' THEN epoch_us(ts) // 1000 END AS created_at_ms
         FROM events"""
     nearest = f"{_near_sql(1)}, nodes AS (SELECT vec_id AS id FROM embeddings)"
     nearest_components = f"WITH RECURSIVE {nearest}, {_components_sql('nodes', 'links')}"

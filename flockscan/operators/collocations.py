@@ -8,12 +8,13 @@ Stop words and rare words leave before pairing.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flockscan.functions.text import adjacent_pairs, tokens
-from flockscan.operators.skew import HOT_KEYS, short_key, spread_join
+from flockscan.operators.skew import HOT_KEYS, short_key
 from flockscan.storage import save
 
 StopWords = Iterable[str] | DataFrame
@@ -91,52 +92,67 @@ def vocabulary(
     return word_statistics(docs, stop_words, text).filter(F.col("doc_freq") >= word_freq)
 
 
-def _kept_words(
+@dataclass
+class KnownWords:
+    """A stored table of words with a flag ``kept`` for those of the vocabulary."""
+
+    frame: DataFrame
+    kept_bytes: int
+
+    def vocabulary(self) -> DataFrame:
+        return self.frame.filter("kept").drop("kept")
+
+
+def known_words(
     docs: DataFrame,
     word_freq: int,
-    stop_words: StopWords,
+    stop_words: StopWords = (),
+    text: str = "text",
+    with_sizes: bool = True,
+) -> KnownWords:
+    """Count all words once and store them, so that later steps need not read the texts."""
+    listed = _listed(stop_words)
+    count = word_statistics if with_sizes else doc_frequency
+    counted = count(docs, listed, text)
+    kept = F.col("doc_freq") >= word_freq
+    stops = _joined(docs, stop_words)
+    if stops is not None:
+        flags = stops.distinct().withColumn("stop", F.lit(True))
+        counted = counted.join(flags, "word", "left")
+        kept = kept & F.col("stop").isNull()
+    flagged = counted.withColumn("kept", kept).drop("stop")
+    # 64 bytes a row cover the fixed part of a broadcast row and its hash slot.
+    size = F.sum(F.when(F.col("kept"), F.octet_length("word") + 64))
+    stored = save(flagged, "words", kept_bytes=size)
+    return KnownWords(stored.frame, stored.metrics["kept_bytes"] or 0)
+
+
+def _kept_words(
+    docs: DataFrame,
+    known: KnownWords,
+    listed: list[str],
     doc_id: str,
     text: str,
     broadcast_bytes: int,
 ) -> DataFrame:
     """``(doc_id, words)``: the words of each text that belong to the vocabulary."""
-    listed = _listed(stop_words)
     own_words = F.array_distinct(tokens(F.col(text), listed))
     words = docs.select(F.col(doc_id).alias("doc_id"), F.explode(own_words).alias("word"))
-    kept = F.col("kept")
-    stats = doc_frequency(docs, listed, text)
-    stops = _joined(docs, stop_words)
-    if stops is not None:
-        stats = stats.join(stops.withColumn("stop", F.lit(True)).distinct(), "word", "left")
-    else:
-        stats = stats.withColumn("stop", F.lit(None).cast("boolean"))
-    stats = stats.select(
-        "word",
-        "doc_freq",
-        ((F.col("doc_freq") >= word_freq) & F.col("stop").isNull()).alias("kept"),
-    )
-    known = save(
-        stats,
-        "words",
-        # 64 bytes a row cover the fixed part of a broadcast row and its hash slot.
-        kept_bytes=F.sum(F.when(kept, F.octet_length("word") + 64)),
-    )
-    allowed = known.frame.filter(kept)
-    if (known.metrics["kept_bytes"] or 0) <= broadcast_bytes:
+    allowed = known.vocabulary().select("word")
+    if known.kept_bytes <= broadcast_bytes:
         survivors = words.join(F.broadcast(allowed), "word", "left_semi")
     else:
         # The most frequent words make up most rows and any hot key: at most HOT_KEYS
         # short words, so they may be broadcast, and their rows skip the shuffle.
         # Every other word is rare enough to be joined by shuffling.
-        hot = F.broadcast(
+        hot = (
             known.frame.filter(short_key(known.frame, "word"))
-            .orderBy(F.desc("doc_freq"))
+            .orderBy(F.desc("doc_freq"), "word")
             .limit(HOT_KEYS)
+            .select("word", "kept")
         )
-        frequent = words.join(hot.filter(kept), "word", "left_semi")
-        others = words.join(hot, "word", "left_anti").join(
-            allowed.hint("shuffle_merge"), "word", "left_semi"
-        )
+        frequent = words.join(F.broadcast(hot.filter("kept")), "word", "left_semi")
+        others = words.join(F.broadcast(hot), "word", "left_anti").join(allowed, "word", "left_semi")
         survivors = frequent.unionByName(others)
     # One group is one text, so it is never larger than a row already in memory.
     return survivors.groupBy("doc_id").agg(F.sort_array(F.collect_list("word")).alias("words"))
@@ -149,12 +165,20 @@ def ordered_words(
     doc_id: str = "doc_id",
     text: str = "text",
     broadcast_bytes: int = BROADCAST_VOCABULARY_BYTES,
+    known: KnownWords | None = None,
 ) -> DataFrame:
-    """``(doc_id, words)``: distinct kept words of each text, in code-point order."""
+    """``(doc_id, words)``: distinct kept words of each text, in code-point order.
+
+    Without a frequency limit and a stop table no other text matters, and the words
+    of a text are put in order without any shuffle.
+    """
+    listed = _listed(stop_words)
     if word_freq <= 1 and _joined(docs, stop_words) is None:
-        own_words = F.array_distinct(tokens(F.col(text), _listed(stop_words)))
+        own_words = F.array_distinct(tokens(F.col(text), listed))
         return docs.select(F.col(doc_id).alias("doc_id"), F.sort_array(own_words).alias("words"))
-    return _kept_words(docs, word_freq, stop_words, doc_id, text, broadcast_bytes)
+    if known is None:
+        known = known_words(docs, word_freq, stop_words, text, with_sizes=False)
+    return _kept_words(docs, known, listed, doc_id, text, broadcast_bytes)
 
 
 def pair_counts(words: DataFrame, coloc_freq: int = 1) -> DataFrame:
@@ -194,11 +218,11 @@ def collocations(
 ) -> tuple[DataFrame, DataFrame]:
     """The word graph ``(edges, nodes)`` of a text collection.
 
-    ``doc_id`` must be unique. Pair counts are written once; both results, and
-    whatever graph measure follows, start from that table.
+    ``doc_id`` must be unique. Word counts and pair counts are written once; both
+    results, and whatever graph measure follows, start from these tables.
     """
-    words = ordered_words(docs, word_freq, stop_words, doc_id, text)
+    known = known_words(docs, word_freq, stop_words, text)
+    words = ordered_words(docs, word_freq, stop_words, doc_id, text, known=known)
     pairs = save(pair_counts(words, coloc_freq), "pairs").frame
     edges = weighted(pairs).select("source", "target", "weight")
-    nodes = endpoint_nodes(vocabulary(docs, word_freq, stop_words, text), pairs)
-    return ranked_edges(edges), nodes
+    return ranked_edges(edges), endpoint_nodes(known.vocabulary(), pairs)

@@ -10,17 +10,22 @@ a single vector. Both ways give the same rows.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flockscan.operators.skew import ROWS_PER_TASK
 from flockscan.storage import save
 
+# Executors receive the functions below with the plan; they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BROADCAST_BYTES = 64 << 20
 # Vectors of one base block, and queries compared with it in one group.
 BLOCK_ROWS = 16_384
@@ -216,18 +221,20 @@ def _visits(queries: DataFrame, cells: Cells, dim: int, wanted: int) -> DataFram
     A cell can be left out when all of it is further away: by its radius, or as
     the plane between its pivot and the query's nearest pivot is.
     """
-    shared = queries.sparkSession.sparkContext.broadcast(cells)
+    shared = queries.sparkSession.sparkContext.broadcast(
+        (cells.pivots, cells.radius, cells.first_block, cells.blocks)
+    )
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        between = _pivot_gaps(known.pivots, known.pivots)
+        pivots, radius, first_block, blocks = shared.value
+        between = _pivot_gaps(pivots, pivots)
         ranges = [
             np.arange(first, first + n, dtype=np.int32)
-            for first, n in zip(known.first_block, known.blocks, strict=True)
+            for first, n in zip(first_block, blocks, strict=True)
         ]
         for batch in batches:
             vectors = _matrix(batch.column("vec"), dim)
-            gaps = _pivot_gaps(vectors, known.pivots)
+            gaps = _pivot_gaps(vectors, pivots)
             if gaps.shape[1] >= wanted:
                 reach = np.partition(gaps, wanted - 1, axis=1)[:, wanted - 1]
             else:
@@ -238,10 +245,10 @@ def _visits(queries: DataFrame, cells: Cells, dim: int, wanted: int) -> DataFram
             with np.errstate(divide="ignore", invalid="ignore"):
                 plane = (gaps**2 - home_gap[:, None] ** 2) / (2.0 * apart)
             plane[~np.isfinite(plane)] = 0.0
-            nearest = np.maximum(gaps - known.radius[None, :], plane)
+            nearest = np.maximum(gaps - radius[None, :], plane)
             # The square root of the rounding share, as these are not squared.
             slack = np.sqrt(ROUNDING) * (gaps.max(axis=1) + np.abs(vectors).max(initial=0.0))
-            visited = (nearest <= (reach + slack)[:, None]) & (known.blocks > 0)[None, :]
+            visited = (nearest <= (reach + slack)[:, None]) & (blocks > 0)[None, :]
             lists = [
                 np.concatenate([ranges[c] for c in np.flatnonzero(row)] or [np.zeros(0, np.int32)])
                 for row in visited
