@@ -134,8 +134,11 @@ def _round(
         "now.loop",
         (F.col("now.w") + 2 * F.col("now.loop")).alias("inside"),
         (F.col("now.k") * F.col("now.group_k")).alias("square"),
+        moves.cast("int").alias("moved"),
+    )
+    return save(
+        after, "state", inside=F.sum("inside"), squares=F.sum("square"), moved=F.sum("moved")
     )
-    return save(after, "state", inside=F.sum("inside"), squares=F.sum("square"))
 
 
 def _settle(
@@ -143,16 +146,23 @@ def _settle(
 ) -> tuple[DataFrame, float]:
     """The labels ``(id, label)`` of highest modularity that the rounds pass through."""
     state = level.nodes.frame.select("id", F.col("id").alias("label"), "k", "loop")
-    best, best_q = state, float("-inf")
+    best, best_q, share = state, float("-inf"), movers
     for turn in range(max_rounds):
-        after = _round(level, state, resolution, turn, movers)
+        after = _round(level, state, resolution, turn, share)
         ends = 2 * level.total
         q = after.metrics["inside"] / ends - resolution * after.metrics["squares"] / ends**2
-        if q <= best_q + least_rise:
+        # The state of a round without moves comes round again and is no news.
+        if share == movers and q <= best_q + least_rise:
             after.discard()
             break
-        best, best_q = state, q
-        state = after.frame.select("id", "label", "k", "loop")
+        best, best_q = state, max(q, best_q)
+        if after.metrics["moved"]:
+            state, share = after.frame.select("id", "label", "k", "loop"), movers
+        elif share < 1:
+            # None of those drawn could move; before giving up let all try.
+            share = 1.0
+        else:
+            break
     return best.select("id", "label"), best_q
 
 
