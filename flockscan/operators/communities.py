@@ -85,56 +85,53 @@ def _round(
     weight each node has inside its community, and its degree times the degree of
     its community, which adds up to the squares of all community degrees.
     """
+    ends = 2 * level.total
     groups = state.groupBy("label").agg(
-        F.sum("k").alias("group_k"), F.count(F.lit(1)).alias("members")
+        F.expr("sum(k) AS group_k"), F.expr("count(*) AS members")
     )
     neighbours = spread_join(
         level.ways.frame,
-        state.select(F.col("id").alias("other"), "label"),
+        state.selectExpr("id AS other", "label"),
         "other",
         facts_rows=level.ways.rows,
     )
     links = (
         neighbours.select("id", "label", "w")
-        .union(state.select("id", "label", F.lit(0.0)))
+        .union(state.selectExpr("id", "label", "0D AS w"))
         .groupBy("id", "label")
-        .agg(F.sum("w").alias("w"))
+        .agg(F.expr("sum(w) AS w"))
     )
     options = spread_join(links, groups, "label", facts_rows=level.option_rows)
     options = spread_join(
-        options,
-        state.withColumnRenamed("label", "own"),
-        "id",
-        facts_rows=level.option_rows,
+        options, state.withColumnRenamed("label", "own"), "id", facts_rows=level.option_rows
     )
-    stays = F.col("label") == F.col("own")
     # A node does not count in the degree of the community it would leave or join.
-    rest = F.when(stays, F.col("group_k") - F.col("k")).otherwise(F.col("group_k"))
-    gain = F.col("w") - resolution * F.col("k") * rest / (2 * level.total)
-    weighed = options.withColumn("gain", gain)
-    choice = weighed.groupBy("id").agg(
-        F.min_by(
-            F.struct("label", "members", "gain"),
-            F.when(~stays, F.struct(-F.col("gain"), "label")),
-        ).alias("best"),
-        F.max(F.when(stays, F.struct("label", "members", "gain", "w", "group_k", "k", "loop"))).alias(
-            "now"
-        ),
-    )
-    drawn = F.pmod(F.xxhash64(F.lit(turn), "id"), F.lit(1000)) < round(1000 * movers)
-    lone_pair = (F.col("now.members") == 1) & (F.col("best.members") == 1)
-    better = F.col("best.gain") > F.col("now.gain") + LEAST_GAIN * level.total
-    moves = F.coalesce(
-        drawn & better & ~(lone_pair & (F.col("best.label") > F.col("now.label"))), F.lit(False)
+    gain = f"w - {resolution!r}D * k * if(label = own, group_k - k, group_k) / {ends!r}D"
+    choice = (
+        options.withColumn("gain", F.expr(gain))
+        .groupBy("id")
+        .agg(
+            F.expr(
+                "min_by(struct(label, members, gain),"
+                " if(label <> own, struct(-gain AS loss, label), NULL)) AS best"
+            ),
+            F.expr(
+                "max(if(label = own, struct(label, members, gain, w, group_k, k, loop), NULL)) AS now"
+            ),
+        )
     )
-    after = choice.select(
+    moves = f"""coalesce(
+        pmod(xxhash64({turn}, id), 1000) < {round(1000 * movers)}
+        AND best.gain > now.gain + {LEAST_GAIN * level.total!r}D
+        AND NOT (now.members = 1 AND best.members = 1 AND best.label > now.label), false)"""
+    after = choice.withColumn("moves", F.expr(moves)).selectExpr(
         "id",
-        F.when(moves, F.col("best.label")).otherwise(F.col("now.label")).alias("label"),
+        "if(moves, best.label, now.label) AS label",
         "now.k",
         "now.loop",
-        (F.col("now.w") + 2 * F.col("now.loop")).alias("inside"),
-        (F.col("now.k") * F.col("now.group_k")).alias("square"),
-        moves.cast("int").alias("moved"),
+        "now.w + 2 * now.loop AS inside",
+        "now.k * now.group_k AS square",
+        "int(moves) AS moved",
     )
     return save(
         after, "state", inside=F.sum("inside"), squares=F.sum("square"), moved=F.sum("moved")
@@ -143,17 +140,18 @@ def _round(
 
 def _settle(
     level: Level, resolution: float, movers: float, max_rounds: int, least_rise: float
-) -> tuple[DataFrame, float]:
+) -> tuple[Saved, float]:
     """The labels ``(id, label)`` of highest modularity that the rounds pass through."""
-    state = level.nodes.frame.select("id", F.col("id").alias("label"), "k", "loop")
+    state = level.nodes.frame.selectExpr("id", "id AS label", "k", "loop")
     best, best_q, share = state, float("-inf"), movers
+    passed: list[Saved] = []
     for turn in range(max_rounds):
         after = _round(level, state, resolution, turn, share)
+        passed.append(after)
         ends = 2 * level.total
         q = after.metrics["inside"] / ends - resolution * after.metrics["squares"] / ends**2
         # The state of a round without moves comes round again and is no news.
         if share == movers and q <= best_q + least_rise:
-            after.discard()
             break
         best, best_q = state, max(q, best_q)
         if after.metrics["moved"]:
@@ -163,7 +161,10 @@ def _settle(
             share = 1.0
         else:
             break
-    return best.select("id", "label"), best_q
+    labels = save(best.select("id", "label"), "labels")
+    for after in passed:
+        after.discard()
+    return labels, best_q
 
 
 def _next_level(level: Level, labels: DataFrame) -> Level:
@@ -200,18 +201,21 @@ def communities(
     weights = edges.select("source", "target", F.col("weight").cast("double").alias("w"))
     ids = endpoints(edges) if nodes is None else nodes.select("id").union(endpoints(edges))
     level = _level(weights, ids.distinct().select("id", F.lit(0.0).alias("loop")))
-    found = level.nodes.frame.select("id", F.col("id").alias("label"))
-    node_rows, reached = level.nodes.rows, float("-inf")
+    found = save(level.nodes.frame.selectExpr("id", "id AS root"), "found")
+    reached = float("-inf")
     while level.total > 0:
-        labels, q = _settle(level, resolution, movers, max_rounds, least_rise)
+        settled, q = _settle(level, float(resolution), movers, max_rounds, least_rise)
         if q <= reached + least_rise:
+            settled.discard()
             break
         reached = q
-        settled = save(labels, "labels")
-        upward = settled.frame.select(F.col("id").alias("label"), F.col("label").alias("upper"))
-        followed = spread_join(found, upward, "label", facts_rows=node_rows)
-        found = save(followed.select("id", F.col("upper").alias("label")), "found").frame
+        upward = settled.frame.selectExpr("id AS root", "label")
+        followed = spread_join(found.frame, upward, "root", facts_rows=found.rows)
+        onward = save(followed.selectExpr("id", "label AS root"), "found")
+        found.discard()
         upper = _next_level(level, settled.frame)
-        level.discard()
-        level = upper
-    return number_groups(found, "label", name)
+        for done in (settled, level):
+            done.discard()
+        found, level = onward, upper
+    level.discard()
+    return number_groups(found, name)

@@ -65,7 +65,7 @@ def _contract(edges: Saved, picks: DataFrame) -> DataFrame:
     return _pairs(F.col("pick_a"), F.col("pick_b"), moved)
 
 
-def component_roots(edges: DataFrame) -> DataFrame:
+def component_roots(edges: DataFrame, nodes: DataFrame | None = None) -> Saved:
     """``(id, root)``: a root shared by exactly the nodes of one component."""
     left = save(_pairs(F.col("source"), F.col("target"), edges), "edges")
     rounds: list[Saved] = []
@@ -77,17 +77,20 @@ def component_roots(edges: DataFrame) -> DataFrame:
         smaller = save(_contract(left, picks.frame), "edges")
         left.discard()
         left = smaller
-    roots = None
-    for picks in reversed(rounds):
-        if roots is None:
-            roots = picks.frame.withColumnRenamed("pick", "root")
-            continue
-        later = roots.withColumnRenamed("id", "pick")
+    ids = endpoints(edges) if nodes is None else nodes.select("id").union(endpoints(edges)).distinct()
+    if not rounds:
+        return save(ids.withColumn("root", F.col("id")), "roots")
+    roots = rounds[-1].frame
+    for picks in reversed(rounds[:-1]):
+        later = roots.select(F.col("id").alias("pick"), F.col("pick").alias("root"))
         followed = spread_join(picks.frame, later, "pick", "left", facts_rows=picks.rows)
-        roots = followed.select("id", F.coalesce("root", "pick").alias("root"))
-    if roots is None:
-        return left.frame.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    return roots
+        # A node that lost its last edge in this round is a root itself.
+        roots = followed.select("id", F.coalesce("root", "pick").alias("pick"))
+    rooted = ids.join(roots, "id", "left").select("id", F.coalesce("pick", "id").alias("root"))
+    found = save(rooted, "roots")
+    for done in (*rounds, left):
+        done.discard()
+    return found
 
 
 def component_sizes(labelled: DataFrame, name: str = "component") -> DataFrame:
@@ -95,21 +98,20 @@ def component_sizes(labelled: DataFrame, name: str = "component") -> DataFrame:
     return labelled.groupBy(name).agg(F.count(F.lit(1)).alias("size"))
 
 
-def number_groups(labelled: DataFrame, root: str, name: str) -> DataFrame:
-    """``(id, name)``: groups sharing a root, numbered from 0 by falling size.
+def number_groups(rooted: Saved, name: str) -> DataFrame:
+    """``(id, name)``: the groups of ``(id, root)``, numbered from 0 by falling size.
 
     Equal sizes are ordered by their smallest member.
     """
-    known = save(labelled.select("id", F.col(root).alias("root")), "roots")
-    sizes = known.frame.groupBy("root").agg(
+    sizes = rooted.frame.groupBy("root").agg(
         F.count(F.lit(1)).alias("n"), F.min("id").alias("first")
     )
     numbered = number_rows(sizes, [F.desc("n"), F.asc("first")], name).select("root", name)
     named = spread_join(
-        known.frame,
+        rooted.frame,
         numbered,
         "root",
-        facts_rows=known.rows,
+        facts_rows=rooted.rows,
         counts=sizes.select("root", "n"),
     )
     return named.select("id", name)
@@ -123,11 +125,7 @@ def connected_components(
     Equal sizes are ordered by their smallest node. Nodes without an edge, known
     only from ``nodes(id)``, are components of their own.
     """
-    ids = endpoints(edges) if nodes is None else nodes.select("id").union(endpoints(edges)).distinct()
-    rooted = ids.join(component_roots(edges), "id", "left").select(
-        "id", F.coalesce("root", "id").alias("root")
-    )
-    return number_groups(rooted, "root", name)
+    return number_groups(component_roots(edges, nodes), name)
 
 
 def sets_to_labels(sets: DataFrame, name: str = "component") -> DataFrame:
