@@ -104,8 +104,10 @@ GRAPHS = {
 }
 
 
+@pytest.mark.parametrize("tail", [0, 20, 1000])
 @pytest.mark.parametrize("name", GRAPHS)
-def test_components_equal_union_find(spark, name):
+def test_components_equal_union_find(spark, monkeypatch, name, tail):
+    monkeypatch.setattr(comps, "TAIL_EDGES", tail)
     ids, pairs = GRAPHS[name]
     nodes = spark.createDataFrame([(i,) for i in ids], "id bigint")
     got = comps.connected_components(edge_table(spark, pairs), nodes)
@@ -114,6 +116,7 @@ def test_components_equal_union_find(spark, name):
 
 def test_components_with_hot_keys_sliced(spark, monkeypatch):
     monkeypatch.setattr(skew.spread_join, "__defaults__", ("inner", None, None, 3))
+    monkeypatch.setattr(comps, "TAIL_EDGES", 0)
     ids, pairs = GRAPHS["star"]
     pairs = pairs + [(1000 + i, 1001 + i) for i in range(20)]
     ids = [*ids, *range(1000, 1021)]
