@@ -29,6 +29,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BROADCAST_BYTES = 64 << 20
 # Vectors of one base block, and queries compared with it in one group.
 BLOCK_ROWS = 16_384
+LEAST_PART_ROWS = 1_024
 # Pivot vectors are bounded in number and in total size.
 MAX_PIVOTS = 1_024
 MAX_PIVOT_VALUES = 1 << 22
@@ -174,13 +175,48 @@ def _distinct_vectors(base: DataFrame, keep: int) -> DataFrame:
 
 @dataclass
 class Cells:
-    """Pivot vectors and, per pivot, the radius and the blocks of its cell."""
+    """Pivot vectors, and how the cells around them are put into blocks.
+
+    Cells of pivots close to each other share a group. A group is one block, or
+    several if its only cell is too large for one. ``order`` lists the cells group
+    by group, ``starts`` where each group begins in it.
+    """
 
     pivots: np.ndarray
+    rows: np.ndarray
     radius: np.ndarray
+    order: np.ndarray
+    starts: np.ndarray
     first_block: np.ndarray
     blocks: np.ndarray
 
+    def group_of_cell(self) -> np.ndarray:
+        sizes = np.diff(np.r_[self.starts, len(self.order)])
+        groups = np.empty(len(self.order), dtype=np.int64)
+        groups[self.order] = np.repeat(np.arange(len(self.starts)), sizes)
+        return groups
+
+
+def _grouped(pivots: np.ndarray, rows: np.ndarray, radius: np.ndarray, block_rows: int) -> Cells:
+    """Walk from pivot to nearest unused pivot and fill blocks with their cells on the way."""
+    gaps = _pivot_gaps(pivots, pivots)
+    order = np.zeros(len(pivots), dtype=np.int64)
+    left = np.ones(len(pivots), dtype=bool)
+    left[0] = False
+    for at in range(1, len(pivots)):
+        order[at] = np.where(left, gaps[order[at - 1]], np.inf).argmin()
+        left[order[at]] = False
+    starts, filled = [], 0
+    for at, cell in enumerate(order):
+        if not starts or filled + rows[cell] > block_rows:
+            starts.append(at)
+            filled = 0
+        filled += rows[cell]
+    blocks = np.maximum(1, -(-np.add.reduceat(rows[order], starts) // block_rows))
+    return Cells(
+        pivots, rows, radius, order, np.array(starts), np.cumsum(blocks) - blocks, blocks
+    )
+
 
 def _pivot_gaps(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Distances of all vectors to all pivots."""
@@ -221,21 +257,20 @@ def _visits(queries: DataFrame, cells: Cells, dim: int, wanted: int) -> DataFram
     A cell can be left out when all of it is further away: by its radius, or as
     the plane between its pivot and the query's nearest pivot is.
     """
-    shared = queries.sparkSession.sparkContext.broadcast(
-        (cells.pivots, cells.radius, cells.first_block, cells.blocks)
-    )
+    shared = queries.sparkSession.sparkContext.broadcast(vars(cells))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, radius, first_block, blocks = shared.value
+        known = shared.value
+        pivots = known["pivots"]
         between = _pivot_gaps(pivots, pivots)
         ranges = [
             np.arange(first, first + n, dtype=np.int32)
-            for first, n in zip(first_block, blocks, strict=True)
+            for first, n in zip(known["first_block"], known["blocks"], strict=True)
         ]
         for batch in batches:
             vectors = _matrix(batch.column("vec"), dim)
             gaps = _pivot_gaps(vectors, pivots)
-            if gaps.shape[1] >= wanted:
+            if len(pivots) >= wanted:
                 reach = np.partition(gaps, wanted - 1, axis=1)[:, wanted - 1]
             else:
                 reach = np.full(len(gaps), np.inf)
@@ -245,12 +280,13 @@ def _visits(queries: DataFrame, cells: Cells, dim: int, wanted: int) -> DataFram
             with np.errstate(divide="ignore", invalid="ignore"):
                 plane = (gaps**2 - home_gap[:, None] ** 2) / (2.0 * apart)
             plane[~np.isfinite(plane)] = 0.0
-            nearest = np.maximum(gaps - radius[None, :], plane)
-            # The square root of the rounding share, as these are not squared.
+            nearest = np.maximum(gaps - known["radius"][None, :], plane)
+            # These are not squared, so their error is the square root of the rounding share.
             slack = np.sqrt(ROUNDING) * (gaps.max(axis=1) + np.abs(vectors).max(initial=0.0))
-            visited = (nearest <= (reach + slack)[:, None]) & (blocks > 0)[None, :]
+            needed = (nearest <= (reach + slack)[:, None]) & (known["rows"] > 0)[None, :]
+            visited = np.logical_or.reduceat(needed[:, known["order"]], known["starts"], axis=1)
             lists = [
-                np.concatenate([ranges[c] for c in np.flatnonzero(row)] or [np.zeros(0, np.int32)])
+                np.concatenate([ranges[g] for g in np.flatnonzero(row)] or [np.zeros(0, np.int32)])
                 for row in visited
             ]
             yield pa.RecordBatch.from_arrays(
@@ -279,28 +315,32 @@ def _in_blocks(
     pivots = _matrix(drawn.toArrow()["vec"], dim)
     placed = save(_in_cells(distinct.frame, pivots, dim), "cells")
 
-    cells = Cells(pivots, *(np.zeros(len(pivots)) for _ in range(3)))
+    rows, radius = np.zeros(len(pivots), dtype=np.int64), np.zeros(len(pivots))
     per_cell = placed.frame.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius")
     )
     for row in per_cell.collect():  # one row per pivot
-        cells.radius[row["cell"]] = row["radius"]
-        cells.blocks[row["cell"]] = -(-row["n"] // block_rows)
-    cells.blocks = cells.blocks.astype(np.int64)
-    cells.first_block = np.cumsum(cells.blocks) - cells.blocks
+        rows[row["cell"]], radius[row["cell"]] = row["n"], row["radius"]
+    cells = _grouped(pivots, rows, radius, block_rows)
 
-    routed = save(_visits(queries, cells, dim, wanted), "routed")
+    routed = save(_visits(queries, cells, dim, wanted), "routed", visits=F.sum(F.size("blocks")))
+    # Fewer queries per group where there would be too few groups to fill all cores.
+    even = (routed.metrics["visits"] or 0) // (4 * spark.sparkContext.defaultParallelism)
+    part_rows = min(block_rows, max(LEAST_PART_ROWS, even))
     loads = save(
         routed.frame.select(F.explode("blocks").alias("block"))
         .groupBy("block")
-        .agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts")),
+        .agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts")),
         "loads",
     ).frame
     if int(cells.blocks.sum()) <= ROWS_PER_TASK:
         loads = F.broadcast(loads)
 
     layout = spark.createDataFrame(
-        [(c, int(f), int(n)) for c, (f, n) in enumerate(zip(cells.first_block, cells.blocks, strict=True))],
+        [
+            (cell, int(cells.first_block[group]), int(cells.blocks[group]))
+            for cell, group in enumerate(cells.group_of_cell())
+        ],
         "cell int, first_block int, cell_blocks int",
     )
     # A full cell is cut by hash, and the queries of a busy block into parts, so no

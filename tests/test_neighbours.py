@@ -103,9 +103,11 @@ def test_far_cells_are_not_visited(spark):
     pivots = x[:40].astype(float)
     gaps = near._pivot_gaps(x.astype(float), pivots)
     home = gaps.argmin(axis=1)
-    blocks = np.bincount(home, minlength=40).clip(max=1)
+    rows_of = np.bincount(home, minlength=40)
     radius = np.array([gaps[home == c, c].max(initial=0) for c in range(40)])
-    cells = near.Cells(pivots, radius, np.cumsum(blocks) - blocks, blocks)
+    cells = near._grouped(pivots, rows_of, radius, 20)
+    assert sorted(cells.order) == list(range(40))
+    assert 20 <= cells.blocks.sum() <= 40
     queries = spark.createDataFrame(
         [(i, [float(v) for v in row]) for i, row in enumerate(x)], "query_id bigint, vec array<float>"
     )
