@@ -18,6 +18,7 @@ from flockscan.operators.components import (
     largest_component,
 )
 from flockscan.operators.neighbours import first_and_last, nearest_neighbours, neighbour_edges
+from flockscan.operators.skew import number_rows
 from flockscan.operators.text_column import guess_text_column, length_medians
 from flockscan.operators.year_slice import PARSED, parse_counts, year_slice
 from flockscan.plans.coordination import close_pairs, coordinated_groups
@@ -205,10 +206,12 @@ def bigram_edges_all(spark, sf_dir):
     return edges.withColumn("weight", F.round("weight", 12))
 
 
-def top_edges(spark, sf_dir):
-    edges, _ = _word_graph(spark, sf_dir)
-    top = collocations.ranked_edges(edges).limit(20)
-    return top.select("source", "target", F.round("weight", 12).alias("weight"))
+def ranked_edges(spark, sf_dir):
+    """Every edge with its place in the order of the edge list."""
+    edges = _word_edges(spark, sf_dir).frame
+    order = [F.desc("weight"), F.asc("source"), F.asc("target")]
+    placed = number_rows(edges, order, "position")
+    return placed.withColumn("weight", F.round("weight", 12))
 
 
 def _word_graph(spark, sf_dir):
@@ -231,6 +234,11 @@ def graph_stats(spark, sf_dir):
     return stats.withColumn("density", F.round("density", 12))
 
 
+def first_nodes(spark, sf_dir):
+    """The head of the node table, a look at five words."""
+    return collocations.first_nodes(_word_graph(spark, sf_dir)[1])
+
+
 def degree(spark, sf_dir):
     edges, nodes = _word_graph(spark, sf_dir)
     return graph.degrees(edges, nodes)
@@ -424,9 +432,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bigram_edges": bigram_edges,
         "bigram_edges_shuffled": bigram_edges_shuffled,
         "bigram_edges_all": bigram_edges_all,
-        "top_edges": top_edges,
+        "ranked_edges": ranked_edges,
         "collocation_nodes": collocation_nodes,
         "graph_stats": graph_stats,
+        "first_nodes": first_nodes,
         "degree": degree,
         "word_components": word_components,
         "communities": word_communities,
@@ -635,10 +644,11 @@ def oracle_sql() -> dict[str, str]:
                 GROUP BY source, target
             )
             SELECT source, target, {EDGES_SQL} AS weight FROM pairs""",
-        "top_edges": f"""
+        "ranked_edges": f"""
             WITH {_pairs_sql()}
-            SELECT source, target, round(freq / (SELECT sum(freq) FROM pairs), 12) AS weight FROM pairs
-            ORDER BY freq DESC, source, target LIMIT 20""",
+            SELECT source, target, round(freq / (SELECT sum(freq) FROM pairs), 12) AS weight,
+                row_number() OVER (ORDER BY freq DESC, source, target) - 1 AS position
+            FROM pairs""",
         "collocation_nodes": f"""
             WITH {_pairs_sql()} SELECT word, size, word AS id FROM vocabulary SEMI JOIN ends USING (word)""",
         "graph_stats": f"""
@@ -647,6 +657,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT nodes, edges,
                 round(CASE WHEN nodes > 1 THEN 2 * edges / (nodes * (nodes - 1)) ELSE 0 END, 12) AS density
             FROM n, m""",
+        "first_nodes": f"""
+            WITH {_pairs_sql()} SELECT word, size, word AS id FROM vocabulary SEMI JOIN ends USING (word)
+            ORDER BY word LIMIT 5""",
         "degree": f"""
             WITH {_pairs_sql()}
             SELECT id, count(*) AS degree

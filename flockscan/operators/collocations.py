@@ -208,6 +208,11 @@ def endpoint_nodes(words: DataFrame, edges: DataFrame) -> DataFrame:
     return words.join(ends, "word", "left_semi").select("word", "size", F.col("word").alias("id"))
 
 
+def first_nodes(nodes: DataFrame, limit: int = 5) -> DataFrame:
+    """The head of the node table, which is in the order of its words."""
+    return nodes.orderBy("word").limit(limit)
+
+
 def collocations(
     docs: DataFrame,
     word_freq: int,

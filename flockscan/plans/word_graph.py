@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from flockscan.operators.collocations import StopWords, collocations
 from flockscan.operators.communities import communities
@@ -44,7 +43,3 @@ def word_graph(
     core = largest_component(edges, measured.select("id", "component"))
     return WordGraph(edges, measured, graph_stats(edges, nodes), core)
 
-
-def heaviest_words(graph: WordGraph, limit: int = 5) -> DataFrame:
-    """A first look at the node table: its largest words."""
-    return graph.nodes.orderBy(F.desc("size"), "word").limit(limit)

@@ -15,9 +15,8 @@ def spark():
     from flockscan.session import local_session
 
     # Plans are searched for pushed filters, which are cut short by default.
-    session = local_session(
-        8, "flockscan-tests", **{"spark.sql.maxMetadataStringLength": "1000"}
-    )
+    settings = {"spark.sql.maxMetadataStringLength": "1000", "spark.sql.shuffle.partitions": "3"}
+    session = local_session(8, "flockscan-tests", **settings)
     yield session
     session.stop()
 

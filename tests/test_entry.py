@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
 from flockscan import storage
-from flockscan.plans.word_graph import heaviest_words, word_graph
+from flockscan.operators.collocations import first_nodes
+from flockscan.plans.word_graph import word_graph
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +43,7 @@ def test_word_graph_plan(sentences):
     assert made.stats.first()["edges"] == 9
     core_nodes, core_edges = made.core
     assert (core_nodes.count(), core_edges.count()) == (7, 9)
-    assert heaviest_words(made, 1).first()["word"] == "en"
+    assert [r["word"] for r in first_nodes(made.nodes, 3).collect()] == ["en", "guerre", "la"]
 
 
 def test_saved_tables_live_in_the_named_folder(spark):
