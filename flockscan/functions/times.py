@@ -9,17 +9,18 @@ from pyspark.sql import types as T
 # The furthest epoch that fits 64-bit nanoseconds, in milliseconds.
 MAX_EPOCH_MS = 9_223_372_036_854
 
-# Text layouts tried, in order, on text that does not start like an ISO date.
+# How text of a known layout starts, and the layout. Text that starts
+# otherwise is no time, which spares the cost of failing to parse it.
 TEXT_LAYOUTS = (
-    "yyyy/MM/dd[ HH:mm[:ss]]",
-    "MM/dd/yyyy[ HH:mm[:ss]]",
-    "dd MMM yyyy[ HH:mm[:ss]]",
-    "MMM dd yyyy[ HH:mm[:ss]]",
+    (r"^\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d[ H:mm[:ss]]"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy[ H:mm[:ss]]"),
+    (r"^\d{1,2} [A-Z][a-z]{2} \d{4}", "d MMM yyyy[ H:mm[:ss]]"),
+    (r"^[A-Z][a-z]{2} \d{1,2} \d{4}", "MMM d yyyy[ H:mm[:ss]]"),
 )
 # Fixed value: `Wed Oct 10 20:19:24 +0000 2025` once its day name is cut off.
-PLATFORM_LAYOUT = "MMM dd HH:mm:ss Z yyyy"
-ISO_START = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
+PLATFORM_LAYOUT = "MMM d HH:mm:ss Z yyyy"
 PLATFORM_START = r"^[A-Z][a-z]{2} [A-Z][a-z]{2} \d"
+ISO_START = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
 
 
 def is_time(kind: T.DataType) -> bool:
@@ -47,13 +48,13 @@ def epoch_ms_to_time(value: Column, kind: T.DataType) -> Column:
 
 def text_to_time(value: Column) -> Column:
     """Each value is read on its own, so one column may mix layouts."""
-    other = [F.try_to_timestamp(value, F.lit(layout)) for layout in TEXT_LAYOUTS]
     platform = F.try_to_timestamp(F.substring(value, 5, 64), F.lit(PLATFORM_LAYOUT))
-    return (
-        F.when(value.rlike(ISO_START), F.try_to_timestamp(value))
-        .when(value.rlike(PLATFORM_START), platform)
-        .otherwise(F.coalesce(*other))
+    parsed = F.when(value.rlike(ISO_START), F.try_to_timestamp(value)).when(
+        value.rlike(PLATFORM_START), platform
     )
+    for start, layout in TEXT_LAYOUTS:
+        parsed = parsed.when(value.rlike(start), F.try_to_timestamp(value, F.lit(layout)))
+    return parsed
 
 
 def to_time(value: Column, kind: T.DataType) -> Column:

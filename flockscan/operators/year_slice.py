@@ -74,12 +74,11 @@ def guess_time_column(df: DataFrame, numeric_fallback_ns: bool = False) -> TimeC
     for name in TIME_NAMES:
         if name in kinds and times.is_parseable(kinds[name]):
             return TimeColumn(name, kinds[name])
-    fields = _fallback_fields(df, numeric_fallback_ns)
-    if not fields:
-        return None
-    counts = parse_counts(df, numeric_fallback_ns).first()
-    for field in fields:
-        if counts[field.name] > 0:
+    # Columns are looked at one by one, so each is read at most once, and reading stops
+    # with the first value that parses.
+    for field in _fallback_fields(df, numeric_fallback_ns):
+        column = F.col(f"`{field.name}`")
+        if not df.select(column).filter(_fallback_time(column, field.dataType).isNotNull()).isEmpty():
             return TimeColumn(field.name, field.dataType, times.is_number(field.dataType))
     return None
 

@@ -27,6 +27,12 @@ TIMES = {
     "iso text with zone": ("created_at string", "2025-01-02T10:00:00.5+02:00", "2025-01-02 08:00:00.5"),
     "platform text": ("created_at string", "Wed Oct 10 20:19:24 +0000 2025", "2025-10-10 20:19:24"),
     "slashes": ("created_at string", "10/12/2025 09:30", "2025-10-12 09:30:00"),
+    "one digit slashes": ("created_at string", "1/2/2025", "2025-01-02 00:00:00"),
+    "year first slashes": ("created_at string", "2025/10/12 09:30:15", "2025-10-12 09:30:15"),
+    "day first words": ("created_at string", "5 Oct 2025", "2025-10-05 00:00:00"),
+    "month first words": ("created_at string", "Oct 15 2025 8:15", "2025-10-15 08:15:00"),
+    "one digit platform day": ("created_at string", "Wed Oct 1 20:19:24 +0200 2025", "2025-10-01 18:19:24"),
+    "no such day": ("created_at string", "13/45/2025", None),
     "bad text": ("created_at string", "x", None),
     "clock only": ("created_at string", "10:00", None),
     "year only": ("created_at string", "2025", None),
