@@ -25,6 +25,21 @@ from flockscan.plans.coordination import close_pairs, coordinated_groups
 from flockscan.sources.posts import fill_cores, nested_to_json, one_shape, write_csv, write_table
 from flockscan.storage import Saved, new_path, save
 
+# The training-data operators are an optional part: without it all other queries work.
+try:
+    from flockscan.llm.queries import ORACLE_SQL as LLM_SQL
+    from flockscan.llm.queries import QUERIES as LLM_QUERIES
+except ImportError:
+    LLM_QUERIES, LLM_SQL = {}, {}
+try:
+    import corpus_pipeline
+
+    LLM_QUERIES = {**LLM_QUERIES, "pipeline": corpus_pipeline.run}
+    if corpus_pipeline.ORACLE_SQL:
+        LLM_SQL = {**LLM_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+except ImportError:
+    pass
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 # Parameters of the word-graph queries.
@@ -410,6 +425,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        **LLM_QUERIES,
         "row_counts": row_counts,
         "year_slice_orders": year_slice_orders,
         "year_slice_events": year_slice_events,
@@ -565,6 +581,7 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT 'orders', 'o_orderstatus', median(length(o_orderstatus)) FROM orders
         UNION ALL SELECT 'orders', 'o_orderpriority', median(length(o_orderpriority)) FROM orders"""
     return {
+        **LLM_SQL,
         "row_counts": """
             SELECT count(*) AS all_rows, count(*) FILTER (year(ts) = 2024) AS slice_rows FROM events""",
         "year_slice_orders": """
