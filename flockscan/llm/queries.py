@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flockscan.llm.decontaminate import find_contamination
+from flockscan.llm.substrings import remove_repeats
 from flockscan.llm.urls import judge_urls
 
 # The rules that op3 is to apply.
@@ -41,9 +42,15 @@ def op8_decontamination(spark, sf_dir):
     )
 
 
+def op9_substring_dedup(spark, sf_dir):
+    cut = remove_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op8_decontamination": op8_decontamination,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -103,4 +110,20 @@ ORACLE_SQL = {
             sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
             coalesce(n_hit, 0) > 0 AS contaminated
         FROM texts LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op9_substring_dedup": """
+        WITH texts AS (
+            SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+        ),
+        windows AS (
+            SELECT doc_id, i, array_to_string(words[i : i + 19], ' ') AS w
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM texts WHERE len(words) >= 20)
+        ),
+        ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS n FROM windows),
+        places AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS place FROM ranked WHERE n > 1),
+        gone AS (SELECT doc_id, list(place) AS gone FROM places GROUP BY doc_id)
+        SELECT doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
+            sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE
+                list_transform(list_filter(list_zip(words, range(1, len(words) + 1)),
+                    lambda x: NOT list_contains(gone, x[2])), lambda x: x[1]) END, ' ')) AS kept_sha256
+        FROM texts LEFT JOIN gone USING (doc_id)""",
 }
