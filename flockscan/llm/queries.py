@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flockscan.llm.decontaminate import find_contamination
+from flockscan.llm.simhash import near_duplicates
 from flockscan.llm.substrings import remove_repeats
 from flockscan.llm.urls import judge_urls
 
@@ -23,6 +24,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark, sf_dir):
+    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    text = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
+    return found.select("doc_id", text.alias("fingerprint"), "component_id")
+
+
 def op3_url_filter(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     judged = judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -48,6 +55,7 @@ def op9_substring_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op3_url_filter": op3_url_filter,
     "op8_decontamination": op8_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
