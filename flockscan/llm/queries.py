@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flockscan.llm.decontaminate import find_contamination
 from flockscan.llm.simhash import near_duplicates
 from flockscan.llm.substrings import remove_repeats
+from flockscan.llm.token_files import read_token_files, write_token_files
 from flockscan.llm.urls import judge_urls
+from flockscan.storage import new_path
 
 # The rules that op3 is to apply.
 URL_RULES = (
@@ -30,6 +34,19 @@ def op1_simhash(spark, sf_dir):
     return found.select("doc_id", text.alias("fingerprint"), "component_id")
 
 
+def tokenizer_definition() -> str:
+    """The public byte-level BPE as JSON text, read by the driver alone."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
+
+
+def op2_token_files(spark, sf_dir):
+    path = new_path(spark, "tokens")
+    write_token_files(_table(spark, sf_dir, "documents"), path, tokenizer_definition())
+    return read_token_files(spark, path)
+
+
 def op3_url_filter(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     judged = judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -56,6 +73,7 @@ def op9_substring_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_token_files": op2_token_files,
     "op3_url_filter": op3_url_filter,
     "op8_decontamination": op8_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
