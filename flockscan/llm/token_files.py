@@ -188,8 +188,8 @@ def re_pair(
 ) -> tuple[Grammar, np.ndarray, np.ndarray]:
     """``(grammar, symbols, counts)`` of documents of ``counts`` ids each.
 
-    Each round replaces the most frequent pairs, all at once; where chosen pairs overlap,
-    the left one is taken. No pair reaches over the end of a document.
+    Each round replaces up to ``rules_per_round`` frequent pairs, all at once; where chosen
+    pairs overlap, the left one is taken. No pair reaches over the end of a document.
     """
     symbols = ids.astype(np.int32)
     last = np.zeros(len(symbols), bool)
@@ -200,20 +200,29 @@ def re_pair(
         if len(symbols) < 2:
             break
         a, b = symbols[:-1], symbols[1:]
-        # Rough counts first; only pairs in full counters are counted exactly.
+        # Pairs are counted in cells; the fullest cells each put up one of their pairs.
         cell = (a * np.int32(40_503) + b) & np.int32(COUNTERS - 1)
-        rough = np.bincount(cell, minlength=COUNTERS) >= least_count
-        place = np.flatnonzero(rough[cell] & ~last[:-1])
-        code = a[place].astype(np.int64) << 32 | b[place]
-        distinct, inverse, n = np.unique(code, return_inverse=True, return_counts=True)
-        often = np.flatnonzero(n >= least_count)
+        cell[last[:-1]] = COUNTERS
+        full = np.bincount(cell, minlength=COUNTERS + 1)[:COUNTERS]
+        top = np.argpartition(-full, rules_per_round)[:rules_per_round]
+        top = np.sort(top[full[top] >= least_count])
+        number = np.full(COUNTERS + 1, -1, np.int32)
+        number[top] = np.arange(len(top))
+        own = number[cell]
+        place = np.flatnonzero(own >= 0)
+        own, code = own[place], a[place].astype(np.int64) << 32 | b[place]
+        candidate = np.zeros(len(top), np.int64)
+        candidate[own[::-1]] = code[::-1]
+        chosen = candidate[own] == code
+        place, own = place[chosen], own[chosen]
+        # Of these the pairs that are frequent themselves.
+        often = np.flatnonzero(np.bincount(own, minlength=len(top)) >= least_count)
         if not len(often):
             break
-        often = often[np.lexsort((distinct[often], -n[often]))][:rules_per_round]
-        new = np.full(len(distinct), -1, np.int32)
+        new = np.full(len(top), -1, np.int32)
         new[often] = first + made + np.arange(len(often))
-        chosen = new[inverse] >= 0
-        place, symbol = place[chosen], new[inverse[chosen]]
+        symbol = new[own]
+        place, symbol = place[symbol >= 0], symbol[symbol >= 0]
         # Of neighbouring places every second one, counted from the first.
         head = np.ones(len(place), bool)
         head[1:] = np.diff(place) != 1
@@ -221,7 +230,7 @@ def re_pair(
         run = np.maximum.accumulate(np.where(head, index, 0))
         kept = (index - run) % 2 == 0
         place, symbol = place[kept], symbol[kept]
-        pair = np.stack([distinct[often] >> 32, distinct[often] & 0xFFFFFFFF], 1)
+        pair = np.stack([candidate[often] >> 32, candidate[often] & 0xFFFFFFFF], 1)
         grammar = Grammar(first, np.concatenate(pairs), lengths)
         size = grammar.sizes(pair.reshape(-1)).reshape(-1, 2).sum(1)
         pairs.append(pair)
