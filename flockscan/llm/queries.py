@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flockscan.llm.decontaminate import find_contamination
+from flockscan.llm.perplexity import judge_quality
 from flockscan.llm.simhash import near_duplicates
 from flockscan.llm.substrings import remove_repeats
 from flockscan.llm.token_files import read_token_files, write_token_files
@@ -53,6 +54,21 @@ def op3_url_filter(spark, sf_dir):
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_quality_rules(spark, sf_dir):
+    judged = judge_quality(_table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        F.round("perplexity", 6).alias("perplexity"),
+    )
+
+
 def op8_decontamination(spark, sf_dir):
     documents, benchmark = (_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
     found = find_contamination(documents, benchmark)
@@ -75,6 +91,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_files": op2_token_files,
     "op3_url_filter": op3_url_filter,
+    "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
 }
