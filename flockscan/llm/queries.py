@@ -13,6 +13,7 @@ from flockscan.llm.simhash import near_duplicates
 from flockscan.llm.substrings import remove_repeats
 from flockscan.llm.token_files import read_token_files, write_token_files
 from flockscan.llm.urls import judge_urls
+from flockscan.llm.warc import read_archives, write_archives
 from flockscan.storage import new_path
 
 # The rules that op3 is to apply.
@@ -54,6 +55,13 @@ def op3_url_filter(spark, sf_dir):
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_warc(spark, sf_dir):
+    path = new_path(spark, "warc")
+    write_archives(_table(spark, sf_dir, "pages"), path)
+    read = read_archives(spark, path, with_payload=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_quality_rules(spark, sf_dir):
     judged = judge_quality(_table(spark, sf_dir, "documents"))
     return judged.select(
@@ -91,6 +99,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_files": op2_token_files,
     "op3_url_filter": op3_url_filter,
+    "op5_warc": op5_warc,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
@@ -99,7 +108,25 @@ QUERIES = {
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 _A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+# Five bits at a time from the hex digits of a digest.
+_BASE32_SQL = """list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+            (CAST('0x' || substr(h, 1 + 5 * i // 4, 2) AS INTEGER) >> (3 - 5 * i % 4)) & 31), 1)
+            FOR i IN range(32)], 'string_agg', '')"""
+
 ORACLE_SQL = {
+    "op5_warc": f"""
+        WITH payloads AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+        ),
+        named AS (
+            SELECT page_id, payload_bytes, {_BASE32_SQL} AS payload_digest,
+                max(page_id) OVER (PARTITION BY h) AS first
+            FROM payloads
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM named""",
     "op3_url_filter": f"""
         WITH rules(rule_host, rule_path, verdict) AS (VALUES {_RULES_SQL}),
         cut AS (
