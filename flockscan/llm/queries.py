@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flockscan.llm.decontaminate import find_contamination
+from flockscan.llm.line_runs import remove_repeated_runs
+from flockscan.llm.mixing import plan_mixture
 from flockscan.llm.perplexity import judge_quality
 from flockscan.llm.simhash import near_duplicates
 from flockscan.llm.substrings import remove_repeats
@@ -55,6 +57,13 @@ def op3_url_filter(spark, sf_dir):
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_line_runs(spark, sf_dir):
+    cut = remove_repeated_runs(_table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
 def op5_warc(spark, sf_dir):
     path = new_path(spark, "warc")
     write_archives(_table(spark, sf_dir, "pages"), path)
@@ -62,6 +71,20 @@ def op5_warc(spark, sf_dir):
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_mixing(spark, sf_dir):
+    plan = plan_mixture(_table(spark, sf_dir, "documents"))
+    return plan.select(
+        "doc_id",
+        "source",
+        "n_tokens",
+        F.round("exponent", 9).alias("exponent"),
+        F.round("weight", 9).alias("weight"),
+        "budget",
+        "block",
+        "copies",
+    )
+
+
 def op7_quality_rules(spark, sf_dir):
     judged = judge_quality(_table(spark, sf_dir, "documents"))
     return judged.select(
@@ -99,7 +122,9 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_files": op2_token_files,
     "op3_url_filter": op3_url_filter,
+    "op4_line_runs": op4_line_runs,
     "op5_warc": op5_warc,
+    "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
@@ -113,7 +138,88 @@ _BASE32_SQL = """list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
             (CAST('0x' || substr(h, 1 + 5 * i // 4, 2) AS INTEGER) >> (3 - 5 * i % 4)) & 31), 1)
             FOR i IN range(32)], 'string_agg', '')"""
 
+
+def mixing_sql(documents: str) -> str:
+    """Rows of ``plan_mixture`` over the named table, with whole columns of it beside them."""
+    draw = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
+    return f"""
+        counted AS (
+            SELECT *, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS n_tokens
+            FROM {documents}
+        ),
+        totals AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS total FROM counted GROUP BY source),
+        ends AS (SELECT max(total) / min(total) AS ratio, sum(total) AS every, max(total) AS most FROM totals),
+        halved(step, low, high) AS (
+            SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+            UNION ALL
+            SELECT step + 1, CASE WHEN ratio ** (1 - (low + high) / 2) > 2 THEN (low + high) / 2 ELSE low END,
+                CASE WHEN ratio ** (1 - (low + high) / 2) > 2 THEN high ELSE (low + high) / 2 END
+            FROM halved, ends WHERE step < 48
+        ),
+        exponent AS (
+            SELECT CASE WHEN ratio > 2 THEN high ELSE 0.0::DOUBLE END AS exponent FROM halved, ends WHERE step = 48
+        ),
+        norm AS (SELECT sum((total / every) ** exponent) AS norm FROM totals, ends, exponent),
+        weights AS (
+            SELECT source, total, exponent, (total / every) ** exponent / norm AS weight,
+                CAST(round((total / every) ** exponent / norm * most / ((most / every) ** exponent / norm)) AS BIGINT)
+                    AS budget,
+                greatest(CAST(ceil(total / 262144) AS BIGINT), 1) AS blocks
+            FROM totals, ends, exponent, norm
+        ),
+        placed AS (
+            SELECT counted.*, exponent, weight, budget, budget // total AS passes, budget % total AS rest,
+                {draw.format("'block:' || doc_id")} % blocks AS block
+            FROM counted JOIN weights USING (source)
+        ),
+        sized AS (
+            SELECT source, block, CAST(sum(n_tokens) AS BIGINT) AS size, first(rest) AS rest
+            FROM placed GROUP BY source, block
+        ),
+        ordered AS (
+            SELECT source, block, size, rest - coalesce(sum(size) OVER (
+                PARTITION BY source ORDER BY {draw.format("'order:' || source || ':' || block")}, block
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wanted
+            FROM sized
+        ),
+        begun AS (
+            SELECT placed.*, wanted, size, coalesce(sum(n_tokens) OVER (
+                PARTITION BY source, block ORDER BY md5(CAST(doc_id AS VARCHAR))
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun
+            FROM placed JOIN ordered USING (source, block)
+        ),
+        planned AS (
+            SELECT *, CASE WHEN n_tokens = 0 THEN 1 ELSE CAST(passes + CASE
+                WHEN wanted <= 0 THEN 0 WHEN wanted >= size THEN 1 WHEN begun < wanted THEN 1 ELSE 0 END AS INTEGER)
+                END AS copies
+            FROM begun
+        )"""
+
+
 ORACLE_SQL = {
+    "op4_line_runs": """
+        WITH lines AS (
+            SELECT doc_id, lines, len(lines) AS n FROM (
+                SELECT doc_id, coalesce(string_split(text, chr(10)), []) AS lines FROM documents
+            )
+        ),
+        runs AS (
+            SELECT doc_id, i, array_to_string(lines[i : i + 2], chr(10)) AS w
+            FROM (SELECT doc_id, lines, unnest(range(1, n - 1)) AS i FROM lines WHERE n >= 3)
+        ),
+        ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS k FROM runs),
+        places AS (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS place FROM ranked WHERE k > 1),
+        gone AS (SELECT doc_id, list(place) AS gone FROM places GROUP BY doc_id)
+        SELECT doc_id, n AS n_lines, coalesce(len(gone), 0) AS n_removed,
+            sha256(array_to_string(CASE WHEN gone IS NULL THEN lines ELSE
+                list_transform(list_filter(list_zip(lines, range(1, n + 1)),
+                    lambda x: NOT list_contains(gone, x[2])), lambda x: x[1]) END, chr(10))) AS kept_sha256
+        FROM lines LEFT JOIN gone USING (doc_id)""",
+    "op6_mixing": f"""
+        WITH RECURSIVE {mixing_sql("documents")}
+        SELECT doc_id, source, n_tokens, round(exponent, 9) AS exponent, round(weight, 9) AS weight,
+            budget, block, copies
+        FROM planned""",
     "op5_warc": f"""
         WITH payloads AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
