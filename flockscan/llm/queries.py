@@ -11,6 +11,7 @@ from flockscan.llm.decontaminate import find_contamination
 from flockscan.llm.line_runs import remove_repeated_runs
 from flockscan.llm.mixing import plan_mixture
 from flockscan.llm.perplexity import judge_quality
+from flockscan.llm.quality import classify_quality
 from flockscan.llm.simhash import near_duplicates
 from flockscan.llm.substrings import remove_repeats
 from flockscan.llm.token_files import read_token_files, write_token_files
@@ -118,6 +119,13 @@ def op9_substring_dedup(spark, sf_dir):
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_quality_classifier(spark, sf_dir):
+    judged = classify_quality(_table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id", "pattern", F.round("posterior", 6).alias("posterior"), F.round("score", 6).alias("score"), "kept"
+    )
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_files": op2_token_files,
@@ -128,6 +136,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)

@@ -9,7 +9,8 @@ decoded without expanding what lies before it.
 
 from __future__ import annotations
 
-import functools
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -108,10 +109,15 @@ class Encoder:
         return self.ids[index], np.diff(total[first])
 
 
-@functools.lru_cache(1)
 def _encoder(definition: str) -> Encoder:
-    """One for all tasks of a worker, so that what it remembers is of use to the next task."""
-    return Encoder(definition)
+    """One for all tasks of a worker, so that what it remembers is of use to the next task.
+
+    It is kept in a module of its own, as functions shipped with a plan are made anew.
+    """
+    kept = sys.modules.setdefault("flockscan_kept", types.ModuleType("flockscan_kept")).__dict__
+    if kept.get("definition") != definition:
+        kept.update(definition=definition, encoder=Encoder(definition))
+    return kept["encoder"]
 
 
 def _ended(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
