@@ -303,19 +303,20 @@ def near_links(prints: DataFrame, distance: int = 4, chain: int = 5, piece: int
 def near_duplicates(
     documents: DataFrame, shingle: int = 4, distance: int = 4, chain: int = 5, piece: int = PIECE
 ) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)`` for every row of ``documents``.
+    """``(doc_id, text_key, fingerprint, component_id)`` for every row of ``documents``.
 
     Words are parted by ASCII white space, A-Z lower-cased. Bit b of a fingerprint is 1 if
     over half of the text's shingles have it set in their XXH64 with seed 42. Texts whose
     fingerprints differ in at most ``distance`` bits are linked; ``component_id`` is the
-    least ``doc_id`` that links lead to.
+    least ``doc_id`` that links lead to, ``text_key`` the XXH64 of the text.
 
     A text of fewer words than a shingle is one shingle; a null text, or one without words,
     has fingerprint zero and is linked like any other. Repeated rows stay. A null
     ``doc_id`` is never a component's id unless all ids of the component are null. Other
     columns are ignored; an empty table gives an empty one.
     """
-    marked = save(fingerprints(documents.select("doc_id", "text"), shingle), "fingerprints").frame
+    keyed = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    marked = save(fingerprints(keyed, shingle), "fingerprints").frame
     links = near_links(marked, distance, chain, piece)
     roots = component_roots(links).frame
     least = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
@@ -323,4 +324,21 @@ def near_duplicates(
     rooted = rooted.withColumn("root", F.coalesce("root", "fingerprint"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select("fingerprint", "component_id")
-    return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return marked.join(named, "fingerprint").select("doc_id", "text_key", "fingerprint", "component_id")
+
+
+def first_of_each(documents: DataFrame, shingle: int = 5, distance: int = 6, chain: int = 5) -> DataFrame:
+    """``documents`` with one row of each group of near-duplicates; columns as they were.
+
+    The row with the least ``doc_id`` stays, of equal ids that with the least hash of its
+    text; a null id comes last. Of rows equal in both one stays.
+    """
+    found = near_duplicates(documents, shingle, distance, chain)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    # Without any id in a component its fingerprint tells it from others.
+    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")))
+    first = found.groupBy(group.alias("component")).agg(F.min(order).alias("first")).select("first.*")
+    first = save(first.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "first").frame
+    keyed = documents.withColumn("_key", F.xxhash64("text"))
+    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["_id"]) & (keyed["_key"] == first["_key"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_key"]).select(*documents.columns)
