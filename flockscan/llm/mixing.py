@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flockscan.llm.words import spare_name
 from flockscan.storage import save
 
 REPETITION_LIMIT = 2.0
@@ -84,7 +85,7 @@ def source_weights(
     # The largest share is repeated least.
     top = F.pow(F.array_max("shares"), F.col("exponent")) / F.col("norm")
     row = row.withColumn("budget_all", F.array_max("shares") * F.col("all") / top).drop("shares")
-    share = F.col("n_tokens") / F.col("all")
+    share = F.coalesce(F.try_divide("n_tokens", "all"), F.lit(0.0))
     weight = F.when(F.col("n_tokens") > 0, F.pow(share, F.col("exponent")) / F.col("norm")).otherwise(0.0)
     return (
         totals.crossJoin(F.broadcast(row))
@@ -121,7 +122,7 @@ def plan_mixture(
     counted = save(counted, "token-counts").frame
     totals = save(counted.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens")), "totals").frame
     weights = source_weights(totals, limit, entropy)
-    passes = F.coalesce(F.expr("budget div n_tokens"), F.lit(1))
+    passes = F.coalesce(F.expr("budget div nullif(n_tokens, 0)"), F.lit(1))
     weights = weights.withColumns(
         {
             "passes": passes,
@@ -163,17 +164,26 @@ def plan_mixture(
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """``documents`` with each row as often as ``plan_mixture`` says; columns as they were."""
     plan = plan_mixture(documents, **options)
-    # Equal rows have equal places in the plan but for the cut; together they are used as planned.
+    # Equal rows are used alike: if the cut falls between them, each as often as the first.
     times = plan.groupBy("doc_id", "text_key", "source").agg(
         F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")
     )
-    times = save(times, "copies").frame
-    share = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
-    named = times.withColumnsRenamed({"copies": "_copies", "rows": "_rows"})
+    copies, copy = spare_name(documents, "copies"), spare_name(documents, "copy")
+    named = save(
+        times.select(
+            F.col("doc_id").alias("_id"),
+            F.col("text_key").alias("_key"),
+            F.col("source").alias("_source"),
+            F.ceil(F.col("copies") / F.col("rows")).cast("int").alias(copies),
+        ),
+        "copies",
+    ).frame
     own = (
-        documents["doc_id"].eqNullSafe(named["doc_id"])
-        & (F.xxhash64(documents["text"]) == named["text_key"])
-        & (F.coalesce(documents["source"], F.lit("")) == named["source"])
+        documents["doc_id"].eqNullSafe(named["_id"])
+        & F.xxhash64(documents["text"]).eqNullSafe(named["_key"])
+        & (F.coalesce(documents["source"], F.lit("")) == named["_source"])
     )
-    found = documents.join(named, own).select(*(documents[c] for c in documents.columns), share.alias("_copies"))
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy")
+    # With fewer copies than rows none may be left; a sequence from 1 to 0 would count down.
+    found = documents.join(named.filter(F.col(copies) > 0), own)
+    used = found.select(*(documents[c] for c in documents.columns), named[copies])
+    return used.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*documents.columns)

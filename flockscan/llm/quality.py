@@ -93,7 +93,7 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
         text[np.unique(mixed(hashes ^ mixed(text.astype(np.uint64))), return_index=True)[1]], minlength=n_texts
     )
     # What marks follow or enclose a word is no part of it here.
-    last = words.data[words.ends - 1] if len(text) else words.data
+    last = words.data[words.ends - 1]
     stops = np.bincount(text[np.isin(hashes, _listed(STOP_WORDS))], minlength=n_texts)
     ends = np.bincount(text[_END[last]], minlength=n_texts)
     upper = _within((data >= 0x41) & (data <= 0x5A), at)
@@ -236,9 +236,10 @@ def fit_scorer(index: list[np.ndarray], value: list[np.ndarray], target: np.ndar
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row with the weights, from at most ``TRAIN_ROWS`` rows in a fixed order."""
-    rows = pa.Table.from_batches(batches)
-    if rows.num_rows:
-        rows = rows.sort_by([("draw", "ascending"), ("index", "ascending")])
+    batches = list(batches)
+    if not batches:
+        return
+    rows = pa.Table.from_batches(batches).sort_by([("draw", "ascending"), ("index", "ascending")])
     index = [np.frombuffer(x.as_py(), "<i4") for x in rows["index"]]
     value = [np.frombuffer(x.as_py(), "<f4") for x in rows["value"]]
     weights = fit_scorer(index, value, np.asarray(rows["posterior"], np.float64))
@@ -293,7 +294,7 @@ def classify_quality(
         _features, "draw long, posterior double, index binary, value binary"
     )
     fitted = features.limit(train_rows).coalesce(1).mapInArrow(_fit, "weights binary").first()
-    weights = spark.sparkContext.broadcast(np.frombuffer(fitted[0], "<f8"))
+    weights = spark.sparkContext.broadcast(np.frombuffer(fitted[0], "<f8") if fitted else np.zeros(WEIGHTS))
     kind = documents.schema["doc_id"].dataType.simpleString()
     judged = drawn.select("doc_id", "text_key", "text").mapInArrow(
         lambda batches: _judge(batches, weights.value), f"doc_id {kind}, text_key long, pattern int, score double"

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flockscan.llm.words import BLANK_PARTED, LOWER, blocks, split_words, text_buffer
+from flockscan.llm.words import BLANK_PARTED, LOWER, blocks, spare_name, split_words, text_buffer
 from flockscan.operators.components import component_roots
 from flockscan.storage import save
 
@@ -339,6 +339,7 @@ def first_of_each(documents: DataFrame, shingle: int = 5, distance: int = 6, cha
     group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")))
     first = found.groupBy(group.alias("component")).agg(F.min(order).alias("first")).select("first.*")
     first = save(first.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "first").frame
-    keyed = documents.withColumn("_key", F.xxhash64("text"))
-    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["_id"]) & (keyed["_key"] == first["_key"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_key"]).select(*documents.columns)
+    key = spare_name(documents, "text_key")
+    keyed = documents.withColumn(key, F.xxhash64("text"))
+    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["_id"]) & (keyed[key] == first["_key"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", key]).select(*documents.columns)

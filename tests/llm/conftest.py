@@ -1,0 +1,51 @@
+from __future__ import annotations
+
+import pytest
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, `key` string, `row` int, start int"
+
+
+def long_text(words: int, seed: int = 1) -> str:
+    value, out = seed, []
+    for _ in range(words):
+        value = (value * 1103515245 + 12345) % 2**31
+        out.append(f"w{value % 99991}")
+    return " ".join(out)
+
+
+@pytest.fixture(scope="session")
+def odd_rows():
+    """Nulls, empty and very long texts, ties, repeated rows and clashing extra columns."""
+    plain = "A clean sentence of the kind that is in every text and that is not too short. " * 2
+    lines = "first line\nsecond line\nthird line\nfourth line"
+    texts = [
+        (1, None, "en", "a"),
+        (2, "", "en", "a"),
+        (3, " \n\t ", None, "a"),
+        (4, long_text(60_000), "en", "b"),
+        (5, "z" * 200_000, "en", None),
+        (6, plain, "en", "b"),
+        (6, plain, "en", "b"),
+        (6, plain + "other", "fr", "b"),
+        (7, long_text(90, 5), "en", "b"),
+        (8, "before " + long_text(90, 5) + " after", "en", "c"),
+        (9, lines, "en", "c"),
+        (10, lines + "\nfifth", "en", "c"),
+        (11, lines + "\n\n\n" + lines, "en", "c"),
+        (None, plain, "en", "b"),
+        (None, None, None, None),
+        (12, "one two", "de", "d"),
+        (13, "one two", "de", "d"),
+        (14, "été <|endoftext|> a  b c", "fr", "d"),
+    ]
+    return [(i, t, lang, s, None if t is None else len(t), "k", 7, 0) for i, t, lang, s in texts]
+
+
+@pytest.fixture(scope="session")
+def odd_documents(spark, odd_rows):
+    return spark.createDataFrame(odd_rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="session")
+def no_documents(spark):
+    return spark.createDataFrame([], SCHEMA)
