@@ -21,15 +21,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flockscan.llm.words import blocks, split_words, text_buffer, word_hashes
+from flockscan.llm.words import blocks, release_memory, split_words, text_buffer, word_hashes
 
 END_ID = 0
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 # Rounds of replacement, nonterminals made in each, and how often a pair must occur.
 ROUNDS, RULES_PER_ROUND, LEAST_COUNT = 4, 1_000, 48
 COUNTERS = 1 << 20
-# Pieces of text whose ids a task remembers.
+# Pieces of text whose ids a worker remembers, and pieces handed to the library at once.
 REMEMBERED = 2_000_000
+PIECES = 2_048
 
 # Encoding
 
@@ -71,9 +72,13 @@ class Encoder:
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, lengths)`` of pieces; a batch keeps the library's per-call cost low."""
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        return np.fromiter((i for ids in encoded for i in ids), np.int32, int(lengths.sum())), lengths
+        found, lengths = [np.empty(0, np.int32)], []
+        for low in range(0, len(pieces), PIECES):
+            encoded = self.tokenizer.encode_batch_fast(pieces[low : low + PIECES], add_special_tokens=False)
+            ids = [e.ids for e in encoded]
+            lengths += map(len, ids)
+            found.append(np.fromiter((i for own in ids for i in own), np.int32))
+        return np.concatenate(found), np.array(lengths, np.int64)
 
     def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, counts)`` of all texts, one after the other."""
@@ -299,6 +304,7 @@ def _shards(batches: Iterator[pa.RecordBatch], definition: str, end_id: int) ->
             ),
         )
         start += len(ids)
+    release_memory()
 
 
 def write_token_files(documents: DataFrame, path: str, definition: str, end_id: int = END_ID) -> None:

@@ -7,6 +7,9 @@ loop over words. Memory is bounded by the block, a few megabytes of text or one
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -72,6 +75,15 @@ def blocks(
             low = high
 
 
+def release_memory() -> None:
+    """Hand freed memory back to the system, as workers live on after their task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    # Of the C library here; others give memory back by themselves or not at all.
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @dataclass
 class Words:
     """Words of some texts: byte ranges of ``data``; text i owns words first[i]:first[i + 1]."""
