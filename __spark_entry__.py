@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,13 +17,23 @@ from flockscan.operators.components import (
     component_sizes,
     connected_components,
     largest_component,
+    sets_to_labels,
 )
 from flockscan.operators.neighbours import first_and_last, nearest_neighbours, neighbour_edges
 from flockscan.operators.skew import number_rows
 from flockscan.operators.text_column import guess_text_column, length_medians
 from flockscan.operators.year_slice import PARSED, parse_counts, year_slice
 from flockscan.plans.coordination import close_pairs, coordinated_groups
-from flockscan.sources.posts import fill_cores, nested_to_json, one_shape, write_csv, write_table
+from flockscan.plans.archive import slice_archive
+from flockscan.sources.posts import (
+    column_preview,
+    fill_cores,
+    nested_to_json,
+    one_shape,
+    read_posts,
+    write_csv,
+    write_table,
+)
 from flockscan.storage import Saved, new_path, save
 
 # The training-data operators are an optional part: without it all other queries work.
@@ -100,15 +111,25 @@ def epoch_missing_slice(spark, sf_dir):
     return kept.withColumn(PARSED, F.col(PARSED).cast("timestamp_ntz"))
 
 
+# Layouts in which the events' times are written to be parsed again.
+WRITTEN = (
+    "yyyy-MM-dd HH:mm:ss",
+    "MM/dd/yyyy HH:mm:ss",
+    "EEE MMM dd HH:mm:ss '+0000' yyyy",
+    "yyyy-MM-dd'T'HH:mm:ss'Z'",
+    "EEE, dd MMM yyyy HH:mm:ss 'GMT'",
+    "MMM d, yyyy HH:mm:ss",
+    "d MMMM yyyy HH:mm:ss",
+    "yyyy/MM/dd HH:mm:ss.SSS",
+    "MM/dd/yyyy hh:mm:ss a",
+)
+
+
 def text_time_parse(spark, sf_dir):
-    kind = F.col("event_type")
-    written = (
-        F.when(kind == "click", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
-        .when(kind == "view", F.date_format("ts", "MM/dd/yyyy HH:mm:ss"))
-        .when(kind == "purchase", F.date_format("ts", "EEE MMM dd HH:mm:ss '+0000' yyyy"))
-        .when(kind == "signup", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-        .otherwise("no time")
-    )
+    turn = F.col("event_id") % (len(WRITTEN) + 1)
+    written = F.lit("no time")
+    for i, layout in enumerate(WRITTEN):
+        written = F.when(turn == i, F.date_format(F.date_trunc("second", "ts"), layout)).otherwise(written)
     events = _table(spark, sf_dir, "events").select("event_id", written.alias("created_at"))
     parsed = to_time(F.col("created_at"), events.schema["created_at"].dataType)
     return events.select("event_id", parsed.cast("timestamp_ntz").alias("parsed"))
@@ -155,7 +176,7 @@ def nested_cells_to_json(spark, sf_dir):
     return nested_to_json(
         orders.select(
             "o_orderkey",
-            F.struct("o_custkey", "o_orderstatus").alias("details"),
+            F.struct("o_custkey", F.nullif("o_orderstatus", F.lit("F")).alias("status")).alias("details"),
             F.array("o_orderstatus", "o_orderpriority").alias("tags"),
             F.create_map("o_orderstatus", "o_custkey").alias("by_status"),
         )
@@ -163,17 +184,57 @@ def nested_cells_to_json(spark, sf_dir):
 
 
 def csv_round_trip(spark, sf_dir):
-    kept = year_slice(_table(spark, sf_dir, "orders"), 1997).select("o_orderkey", "o_orderstatus", "o_orderpriority", F.array("o_custkey").alias("customers"))
+    """Whole texts, outer blanks, and empty cells beside missing ones."""
+    gap = F.when(F.col("lang") == "en", "").when(F.col("lang") != "fr", F.col("lang"))
+    kept = _table(spark, sf_dir, "documents").select(
+        "*",
+        F.concat(F.lit("  "), "lang", F.lit(" ")).alias("padded"),
+        gap.alias("gap"),
+        F.array("doc_id").alias("ids"),
+    )
     path = new_path(spark, "csv")
     write_csv(kept, path)
-    flat = nested_to_json(kept).schema
-    return spark.read.schema(flat).option("header", True).csv(path)
+    return read_posts(spark, path, "csv", nested_to_json(kept).schema)
 
 
 def table_round_trip(spark, sf_dir):
     kept = year_slice(_table(spark, sf_dir, "events"), 2024)
-    write_table(kept, "tweets", new_path(spark, "tweets"))
-    return spark.table("tweets")
+    name = f"posts_{uuid.uuid4().hex}"
+    write_table(kept, name, new_path(spark, "tweets"))
+    return spark.table(name)
+
+
+def parquet_archive(spark, sf_dir):
+    return read_posts(spark, f"{sf_dir}/documents.parquet")
+
+
+def json_archive(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents")
+    path = new_path(spark, "json")
+    documents.write.json(path)
+    return read_posts(spark, path, "json", documents.schema)
+
+
+def archive_slice(spark, sf_dir):
+    """One year of an archive with its text column, and what both sinks hold of it."""
+    path, name = new_path(spark, "csv"), f"posts_{uuid.uuid4().hex}"
+    made = slice_archive(_table(spark, sf_dir, "events"), 2024, path, name, new_path(spark, "tweets"))
+    schema = nested_to_json(made.posts).schema
+    written = read_posts(spark, path, "csv", schema).agg(F.count(F.lit(1)).alias("csv_rows"))
+    stored = spark.table(name).agg(F.count(F.lit(1))).scalar()
+    return written.select(
+        F.lit(made.rows).cast("long").alias("slice_rows"),
+        F.lit(made.text_column).alias("text_column"),
+        "csv_rows",
+        stored.alias("table_rows"),
+    )
+
+
+def previewed_columns(spark, sf_dir):
+    """How many values the columns of a preview hold."""
+    orders = _table(spark, sf_dir, "orders")
+    counts = orders.agg(*(F.count(c).alias(c) for c in column_preview(orders)))
+    return counts.unpivot([], counts.columns, "column_name", "filled")
 
 
 # Words and word graphs
@@ -221,6 +282,13 @@ def bigram_edges_all(spark, sf_dir):
     return edges.withColumn("weight", F.round("weight", 12))
 
 
+def bigram_edges_mixed(spark, sf_dir):
+    """Rows of two tables, whose ids repeat and need not be there."""
+    rows = mixed_batches(spark, sf_dir).withColumn("post_id", F.nullif("post_id", F.lit(1)))
+    words = collocations.ordered_words(rows, WORD_FREQ, STOP_WORDS, doc_id="post_id")
+    return collocations.pair_counts(words, COLOC_FREQ)
+
+
 def ranked_edges(spark, sf_dir):
     """Every edge with its place in the order of the edge list."""
     edges = _word_edges(spark, sf_dir).frame
@@ -259,6 +327,11 @@ def degree(spark, sf_dir):
     return graph.degrees(edges, nodes)
 
 
+def nodes_with_degree(spark, sf_dir):
+    edges, nodes = _word_graph(spark, sf_dir)
+    return graph.with_attribute(nodes, graph.degrees(edges))
+
+
 def word_components(spark, sf_dir):
     edges = _word_edges(spark, sf_dir).frame
     return connected_components(edges)
@@ -295,6 +368,12 @@ def knn_blocks(spark, sf_dir):
     return _rounded(nearest_neighbours(vectors, k=K, broadcast_bytes=0, block_rows=128))
 
 
+def knn_with_gaps(spark, sf_dir):
+    """Some vectors are missing as a whole."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return _rounded(nearest_neighbours(vectors.withColumn("embedding", F.expr("if(label = 3, NULL, embedding)")), k=K))
+
+
 def knn_others(spark, sf_dir):
     vectors = _table(spark, sf_dir, "embeddings")
     return _rounded(nearest_neighbours(vectors, k=K, exclude_self=True))
@@ -342,6 +421,19 @@ def undirected_edges(spark, sf_dir):
     return edges.withColumn("weight", F.round("weight", 12))
 
 
+def undirected_last(spark, sf_dir):
+    """Neighbours both ways as one edge; the one of the larger query counts."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    found = nearest_neighbours(vectors, k=K, exclude_self=True)
+    ways = found.select(
+        F.col("query_id").alias("source"),
+        F.col("neighbour_id").alias("target"),
+        F.col("rank").cast("double").alias("weight"),
+        F.col("query_id").alias("at"),
+    )
+    return graph.undirected(ways, order="at")
+
+
 def _nearest_graph(spark, sf_dir) -> tuple[Saved, DataFrame]:
     """Each vector linked with the nearest other one."""
     vectors = _table(spark, sf_dir, "embeddings")
@@ -355,6 +447,37 @@ def components(spark, sf_dir):
     return connected_components(edges.frame, nodes)
 
 
+def component_sets(spark, sf_dir):
+    """Components as sets of members, and back to a label for each member."""
+    labelled = components(spark, sf_dir)
+    sets = labelled.groupBy(F.col("component").alias("index")).agg(F.collect_set("id").alias("members"))
+    return sets_to_labels(sets)
+
+
+def communities_check(spark, sf_dir):
+    """What holds of any community labelling, on the graph of nearest vectors."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    found = nearest_neighbours(vectors, k=K, exclude_self=True)
+    edges = save(neighbour_edges(found), "near")
+    nodes = vectors.select(F.col("vec_id").alias("id"))
+    labels = save(communities(edges.frame, nodes, name="label"), "labels").frame
+    parts = save(connected_components(edges.frame, nodes), "parts").frame
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    next_size = sizes.select((F.col("label") - 1).alias("label"), F.col("n").alias("next"))
+    spans = labels.join(parts, "id").groupBy("label").agg(F.count_distinct("component").alias("parts"))
+    by_part = parts.withColumnRenamed("component", "label")
+    return labels.agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("id").alias("distinct_nodes")).select(
+        "nodes",
+        (F.col("nodes") == F.col("distinct_nodes")).alias("each_once"),
+        (spans.agg(F.max("parts")).scalar() == 1).alias("within_components"),
+        sizes.join(next_size, "label").agg(F.min(F.col("n") >= F.col("next"))).scalar().alias("by_falling_size"),
+        (
+            graph.modularity(edges.frame, labels, edge_rows=edges.rows).scalar()
+            >= graph.modularity(edges.frame, by_part, edge_rows=edges.rows).scalar()
+        ).alias("no_worse_than_components"),
+    )
+
+
 def sizes_of_components(spark, sf_dir):
     edges, nodes = _nearest_graph(spark, sf_dir)
     return component_sizes(connected_components(edges.frame, nodes))
@@ -417,6 +540,13 @@ def top_accounts(spark, sf_dir):
     return accounts.top_accounts(young)
 
 
+def report_round_trip(spark, sf_dir):
+    report = top_accounts(spark, sf_dir)
+    path = new_path(spark, "report")
+    accounts.write_report(report, path)
+    return spark.read.schema(report.schema).option("header", True).csv(path)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Weighted word pairs of the smoke-test documents."""
     words = collocations.ordered_words(_documents(spark, SMOKE_DIR))
@@ -441,6 +571,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "nested_to_json": nested_cells_to_json,
         "csv_round_trip": csv_round_trip,
         "table_round_trip": table_round_trip,
+        "parquet_archive": parquet_archive,
+        "json_archive": json_archive,
+        "archive_slice": archive_slice,
+        "previewed_columns": previewed_columns,
         "token_counts": token_counts,
         "word_sizes": word_sizes,
         "doc_frequency": doc_frequency,
@@ -448,30 +582,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bigram_edges": bigram_edges,
         "bigram_edges_shuffled": bigram_edges_shuffled,
         "bigram_edges_all": bigram_edges_all,
+        "bigram_edges_mixed": bigram_edges_mixed,
         "ranked_edges": ranked_edges,
         "collocation_nodes": collocation_nodes,
         "graph_stats": graph_stats,
         "first_nodes": first_nodes,
         "degree": degree,
+        "nodes_with_degree": nodes_with_degree,
         "word_components": word_components,
         "communities": word_communities,
         "communities_modularity": word_communities_modularity,
         "vector_count": vector_count,
         "knn_exact": knn_exact,
         "knn_blocks": knn_blocks,
+        "knn_with_gaps": knn_with_gaps,
         "knn_others": knn_others,
         "knn_subset": knn_subset,
         "knn_head_tail": knn_head_tail,
         "neighbour_distances": neighbour_distances,
         "pairs_within": pairs_within,
         "undirected_edges": undirected_edges,
+        "undirected_last": undirected_last,
         "components": components,
+        "component_sets": component_sets,
+        "communities_check": communities_check,
         "component_sizes": sizes_of_components,
         "largest_subgraph": largest_subgraph,
         "label_modularity": label_modularity,
         "coordinated_groups": groups_of_close_vectors,
         "account_profile": account_profile,
         "top_accounts": top_accounts,
+        "report_round_trip": report_round_trip,
     }
 
 
@@ -596,8 +737,9 @@ def oracle_sql() -> dict[str, str]:
         "epoch_missing_slice": f"""
             SELECT *, TIMESTAMP '1970-01-01' AS _parsed_created_at FROM ({epoch})
             WHERE created_at_ms IS NULL""",
-        "text_time_parse": """
-            SELECT event_id, CASE WHEN event_type <> 'error' THEN date_trunc('second', ts) END AS parsed
+        "text_time_parse": f"""
+            SELECT event_id, CASE WHEN event_id % {len(WRITTEN) + 1} < {len(WRITTEN)}
+                THEN date_trunc('second', ts) END AS parsed
             FROM events""",
         "time_parse_counts": """
             SELECT count(ts) AS ts, count(TRY_CAST(event_type AS TIMESTAMP)) AS event_type,
@@ -624,13 +766,27 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT conv_id, text, NULL, role FROM conversations""",
         "nested_to_json": """
             SELECT o_orderkey,
-                CAST(to_json({'o_custkey': o_custkey, 'o_orderstatus': o_orderstatus}) AS VARCHAR) AS details,
+                CAST(to_json({'o_custkey': o_custkey, 'status': nullif(o_orderstatus, 'F')}) AS VARCHAR) AS details,
                 CAST(to_json([o_orderstatus, o_orderpriority]) AS VARCHAR) AS tags,
                 CAST(to_json(MAP {o_orderstatus: o_custkey}) AS VARCHAR) AS by_status
             FROM orders""",
         "csv_round_trip": """
-            SELECT o_orderkey, o_orderstatus, o_orderpriority, '[' || o_custkey || ']' AS customers
-            FROM orders WHERE year(o_orderdate) = 1997""",
+            SELECT *, '  ' || lang || ' ' AS padded,
+                CASE WHEN lang = 'en' THEN '' WHEN lang <> 'fr' THEN lang END AS gap, '[' || doc_id || ']' AS ids
+            FROM documents""",
+        "parquet_archive": "SELECT * FROM documents",
+        "json_archive": "SELECT * FROM documents",
+        "archive_slice": """
+            WITH kept AS (SELECT * FROM events WHERE year(ts) = 2024), n AS (SELECT count(*) AS n FROM kept),
+            medians AS (
+                SELECT 'event_type' AS name, median(length(event_type)) AS m FROM kept
+                UNION ALL SELECT 'props', median(length(props)) FROM kept
+            )
+            SELECT n AS slice_rows, (SELECT CASE WHEN max(m) > 10 THEN arg_max(name, m) END FROM medians) AS text_column, n AS csv_rows,
+                n AS table_rows
+            FROM n""",
+        "previewed_columns": """
+            UNPIVOT (SELECT count(COLUMNS(*)) FROM orders) ON COLUMNS(*) INTO NAME column_name VALUE filled""",
         "table_round_trip": """
             SELECT *, ts AS _parsed_created_at FROM events WHERE year(ts) = 2024""",
         "token_counts": """
@@ -661,6 +817,20 @@ def oracle_sql() -> dict[str, str]:
                 GROUP BY source, target
             )
             SELECT source, target, {EDGES_SQL} AS weight FROM pairs""",
+        "bigram_edges_mixed": f"""
+            WITH texts AS (SELECT text FROM documents UNION ALL SELECT text FROM conversations),
+            numbered AS (SELECT row_number() OVER () AS n, text FROM texts),
+            tokens AS (
+                SELECT n, unnest(list_distinct(regexp_extract_all(lower(text), '\\S+'))) AS word FROM numbered
+            ),
+            kept AS (SELECT * FROM tokens WHERE word NOT IN ({", ".join(f"'{w}'" for w in STOP_WORDS)})),
+            frequent AS (SELECT word FROM kept GROUP BY word HAVING count(*) >= {WORD_FREQ}),
+            following AS (
+                SELECT word AS source, lead(word) OVER (PARTITION BY n ORDER BY word) AS target
+                FROM kept SEMI JOIN frequent USING (word)
+            )
+            SELECT source, target, count(*) AS freq FROM following WHERE target IS NOT NULL
+            GROUP BY source, target HAVING count(*) >= {COLOC_FREQ}""",
         "ranked_edges": f"""
             WITH {_pairs_sql()}
             SELECT source, target, round(freq / (SELECT sum(freq) FROM pairs), 12) AS weight,
@@ -681,6 +851,13 @@ def oracle_sql() -> dict[str, str]:
             WITH {_pairs_sql()}
             SELECT id, count(*) AS degree
             FROM (SELECT source AS id FROM pairs UNION ALL SELECT target FROM pairs) GROUP BY id""",
+        "nodes_with_degree": f"""
+            WITH {_pairs_sql()},
+            degrees AS (
+                SELECT id, count(*) AS degree
+                FROM (SELECT source AS id FROM pairs UNION ALL SELECT target FROM pairs) GROUP BY id
+            )
+            SELECT word, size, id, degree FROM degrees JOIN vocabulary ON word = id""",
         "word_components": f"""
             WITH RECURSIVE {_pairs_sql()}, nodes AS (SELECT word AS id FROM ends),
             {_components_sql('nodes', 'pairs')}
@@ -688,6 +865,9 @@ def oracle_sql() -> dict[str, str]:
         "vector_count": "SELECT count(embedding) AS vectors FROM embeddings",
         "knn_exact": f"WITH {with_self} SELECT {rounded} FROM near",
         "knn_blocks": f"WITH {with_self} SELECT {rounded} FROM near",
+        "knn_with_gaps": f"""
+            WITH {with_self.replace("FROM embeddings", "FROM embeddings WHERE label <> 3")}
+            SELECT {rounded} FROM near""",
         "knn_others": f"WITH {_near_sql(K)} SELECT {rounded} FROM near",
         "knn_subset": f"""
             WITH {with_self} SELECT {rounded} FROM near
@@ -708,6 +888,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT least(query_id, neighbour_id) AS source, greatest(query_id, neighbour_id) AS target,
                 round(max(1.0::DOUBLE / rank), 12) AS weight
             FROM near GROUP BY 1, 2""",
+        "undirected_last": f"""
+            WITH {_near_sql(K)}
+            SELECT least(query_id, neighbour_id) AS source, greatest(query_id, neighbour_id) AS target,
+                CAST(arg_max(rank, query_id) AS DOUBLE) AS weight
+            FROM near GROUP BY 1, 2""",
+        "component_sets": f"{nearest_components} SELECT id, component FROM labelled",
+        "communities_check": """
+            SELECT count(*) AS nodes, true AS each_once, true AS within_components, true AS by_falling_size,
+                true AS no_worse_than_components
+            FROM embeddings""",
         "components": f"{nearest_components} SELECT id, component FROM labelled",
         "component_sizes": f"{nearest_components} SELECT component, size FROM numbered",
         "largest_subgraph": f"""
@@ -740,6 +930,10 @@ def oracle_sql() -> dict[str, str]:
             {_components_sql('nodes', 'close')}
             SELECT component, size FROM numbered""",
         "account_profile": f"WITH {PROFILE_SQL} SELECT * FROM profile",
+        "report_round_trip": f"""
+            WITH {PROFILE_SQL} SELECT * FROM profile
+            WHERE account_age_days < 46 AND posts_per_day > 0.1
+            ORDER BY nb_posts_in_dataset DESC, account_screen_name LIMIT 20""",
         "top_accounts": f"""
             WITH {PROFILE_SQL} SELECT * FROM profile
             WHERE account_age_days < 46 AND posts_per_day > 0.1

@@ -7,8 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: a token is a run of non-blank characters, blanks in the Unicode sense.
-TOKEN_PATTERN = r"(?U)\S+"
+# Fixed value: a token is a run of non-blank characters, blanks in the Unicode sense
+# and the four ASCII separators.
+TOKEN_PATTERN = r"(?U)[^\s\x1C-\x1F]+"
 
 
 def tokens(text: Column, stop_words: Iterable[str] = ()) -> Column:

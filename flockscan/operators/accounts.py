@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The columns of the report, as FIXTURES.md section 6 lists them.
 REPORT = (
     "account_screen_name",
     "account_age_days",
@@ -29,15 +30,15 @@ def account_profile(posts: DataFrame, accounts: DataFrame, reference_date: Colum
     """The report columns of every account that posted.
 
     ``accounts(screen_name, created_at, lifetime_posts, followers, following,
-    description)`` holds each account once. The rate covers the whole life of the
+    description)`` holds each account once; an account it lacks has NULL attributes. The rate covers the whole life of the
     account, not only the posts at hand. Zero age and zero following give NULL.
     Posts are summed before the join, so a busy account is one row in it.
     """
     age = F.datediff(reference_date, "created_at")
-    described = F.trim(F.coalesce("description", F.lit("")))
+    blank = F.coalesce(F.col("description"), F.lit("")).rlike(r"^\s*$")
     return (
         post_activity(posts)
-        .join(accounts, "screen_name")
+        .join(accounts.withColumn("known", F.lit(True)), "screen_name", "left")
         .withColumn("age", age)
         .select(
             F.col("screen_name").alias("account_screen_name"),
@@ -48,7 +49,7 @@ def account_profile(posts: DataFrame, accounts: DataFrame, reference_date: Colum
             F.try_divide(F.col("followers").cast("double"), "following").alias(
                 "followers_following_ratio"
             ),
-            (described == "").alias("has_no_description"),
+            F.when(F.col("known"), blank).alias("has_no_description"),
             (F.col("engagements").cast("double") / F.col("nb_posts_in_dataset")).alias(
                 "avg_engagements_per_post"
             ),

@@ -7,9 +7,14 @@ Stop words and rare words leave before pairing.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import sys
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +22,9 @@ from flockscan.functions.text import adjacent_pairs, tokens
 from flockscan.operators.skew import HOT_KEYS, short_key
 from flockscan.storage import save
 
+# Executors receive the functions below with the plan; they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 StopWords = Iterable[str] | DataFrame
 
 # Stop words beyond this number are joined instead of listed in the expression.
@@ -86,9 +94,7 @@ def doc_frequency(docs: DataFrame, stop_words: StopWords = (), text: str = "text
 def vocabulary(
     docs: DataFrame, word_freq: int, stop_words: StopWords = (), text: str = "text"
 ) -> DataFrame:
-    """Words, with their sizes, found in at least ``word_freq`` texts."""
-    if word_freq <= 1:
-        return word_sizes(docs, stop_words, text)
+    """``(word, size, doc_freq)`` of the words found in at least ``word_freq`` texts."""
     return word_statistics(docs, stop_words, text).filter(F.col("doc_freq") >= word_freq)
 
 
@@ -127,6 +133,19 @@ def known_words(
     return KnownWords(stored.frame, stored.metrics["kept_bytes"] or 0)
 
 
+def _only_listed(batches: Iterator[pa.RecordBatch], listed: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The word lists of a batch without the words that are not listed."""
+    for batch in batches:
+        lists = batch.column("words")
+        words = lists.flatten()
+        kept = pc.is_in(words, value_set=listed)
+        before = np.concatenate([[0], np.cumsum(np.asarray(kept))])
+        lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+        ends = before[np.concatenate([[0], np.cumsum(lengths)])]
+        filtered = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words.filter(kept))
+        yield pa.record_batch([batch.column("doc_id"), filtered], ["doc_id", "words"])
+
+
 def _kept_words(
     docs: DataFrame,
     known: KnownWords,
@@ -137,25 +156,38 @@ def _kept_words(
 ) -> DataFrame:
     """``(doc_id, words)``: the words of each text that belong to the vocabulary."""
     own_words = F.array_distinct(tokens(F.col(text), listed))
-    words = docs.select(F.col(doc_id).alias("doc_id"), F.explode(own_words).alias("word"))
     allowed = known.vocabulary().select("word")
     if known.kept_bytes <= broadcast_bytes:
-        survivors = words.join(F.broadcast(allowed), "word", "left_semi")
-    else:
-        # The most frequent words make up most rows and any hot key: at most HOT_KEYS
-        # short words, so they may be broadcast, and their rows skip the shuffle.
-        # Every other word is rare enough to be joined by shuffling.
-        hot = (
-            known.frame.filter(short_key(known.frame, "word"))
-            .orderBy(F.desc("doc_freq"), "word")
-            .limit(HOT_KEYS)
-            .select("word", "kept")
+        # A row's words stay in their row.
+        words = allowed.toArrow()["word"].combine_chunks()
+        shared = docs.sparkSession.sparkContext.broadcast(words)
+        rows = docs.select(F.col(doc_id).alias("doc_id"), F.sort_array(own_words).alias("words"))
+        kind = rows.schema["doc_id"].dataType.simpleString()
+        return rows.mapInArrow(
+            lambda batches: _only_listed(batches, shared.value), f"doc_id {kind}, words array<string>"
         )
-        frequent = words.join(F.broadcast(hot.filter("kept")), "word", "left_semi")
-        others = words.join(F.broadcast(hot), "word", "left_anti").join(allowed, "word", "left_semi")
-        survivors = frequent.unionByName(others)
+    # Rows are told apart by a number of their own, as ids may be missing or repeated.
+    numbered = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), own_words.alias("words")
+    )
+    words = numbered.select("row", "doc_id", F.explode("words").alias("word"))
+    # The most frequent words make up most rows and any hot key: at most HOT_KEYS
+    # short words, so they may be broadcast, and their rows skip the shuffle.
+    # Every other word is rare enough to be joined by shuffling.
+    hot = (
+        known.frame.filter(short_key(known.frame, "word"))
+        .orderBy(F.desc("doc_freq"), "word")
+        .limit(HOT_KEYS)
+        .select("word", "kept")
+    )
+    frequent = words.join(F.broadcast(hot.filter("kept")), "word", "left_semi")
+    others = words.join(F.broadcast(hot), "word", "left_anti").join(allowed, "word", "left_semi")
+    survivors = frequent.unionByName(others)
     # One group is one text, so it is never larger than a row already in memory.
-    return survivors.groupBy("doc_id").agg(F.sort_array(F.collect_list("word")).alias("words"))
+    grouped = survivors.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list("word")).alias("words")
+    )
+    return grouped.drop("row")
 
 
 def ordered_words(
@@ -221,13 +253,13 @@ def collocations(
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> tuple[DataFrame, DataFrame]:
-    """The word graph ``(edges, nodes)`` of a text collection.
+    """The word graph ``(edges, nodes)`` of a text collection, in no order.
 
-    ``doc_id`` must be unique. Word counts and pair counts are written once; both
+    Rows are texts, whatever their ids. Word counts and pair counts are written once; both
     results, and whatever graph measure follows, start from these tables.
     """
     known = known_words(docs, word_freq, stop_words, text)
     words = ordered_words(docs, word_freq, stop_words, doc_id, text, known=known)
     pairs = save(pair_counts(words, coloc_freq), "pairs").frame
     edges = weighted(pairs).select("source", "target", "weight")
-    return ranked_edges(edges), endpoint_nodes(known.vocabulary(), pairs)
+    return edges, endpoint_nodes(known.vocabulary(), pairs)

@@ -9,6 +9,7 @@ longer raises modularity, communities become nodes and the next level starts.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -139,21 +140,29 @@ def _round(
 
 
 def _settle(
-    level: Level, resolution: float, movers: float, max_rounds: int, least_rise: float
+    level: Level, resolution: float, movers: float, quiet_rounds: int, least_rise: float
 ) -> tuple[Saved, float]:
-    """The labels ``(id, label)`` of highest modularity that the rounds pass through."""
+    """The labels ``(id, label)`` of highest modularity that the rounds pass through.
+
+    Modularity rises by more than ``least_rise`` at least once in ``quiet_rounds``, and it
+    is at most 1, so the rounds come to an end.
+    """
     state = level.nodes.frame.selectExpr("id", "id AS label", "k", "loop")
     best, best_q, share = state, float("-inf"), movers
     passed: list[Saved] = []
-    for turn in range(max_rounds):
+    quiet = 0
+    for turn in itertools.count():
         after = _round(level, state, resolution, turn, share)
         passed.append(after)
         ends = 2 * level.total
         q = after.metrics["inside"] / ends - resolution * after.metrics["squares"] / ends**2
         # The state of a round without moves comes round again and is no news.
-        if share == movers and q <= best_q + least_rise:
-            break
-        best, best_q = state, max(q, best_q)
+        if share == movers:
+            quiet = 0 if q > best_q + least_rise else quiet + 1
+            if q > best_q:
+                best, best_q = state, q
+            if quiet >= quiet_rounds:
+                break
         if after.metrics["moved"]:
             state, share = after.frame.select("id", "label", "k", "loop"), movers
         elif share < 1:
@@ -189,13 +198,13 @@ def communities(
     resolution: float = 1.0,
     name: str = "modularity",
     movers: float = 0.6,
-    max_rounds: int = 40,
-    least_rise: float = 1e-3,
+    quiet_rounds: int = 4,
+    least_rise: float = 1e-7,
 ) -> DataFrame:
     """``(id, name)`` with communities numbered 0, 1, ... by falling size.
 
     ``edges(source, target, weight)`` holds each unordered pair once. A level ends
-    when a round raises modularity by no more than ``least_rise``. ``movers`` is the
+    when modularity has not risen by more than ``least_rise`` for ``quiet_rounds``. ``movers`` is the
     share of nodes that may move in a round; 1 suits sparse graphs and is faster.
     """
     weights = edges.select("source", "target", F.col("weight").cast("double").alias("w"))
@@ -204,7 +213,7 @@ def communities(
     found = save(level.nodes.frame.selectExpr("id", "id AS root"), "found")
     reached = float("-inf")
     while level.total > 0:
-        settled, q = _settle(level, float(resolution), movers, max_rounds, least_rise)
+        settled, q = _settle(level, float(resolution), movers, quiet_rounds, least_rise)
         if q <= reached + least_rise:
             settled.discard()
             break

@@ -17,10 +17,6 @@ from flockscan.operators.graph import endpoints
 from flockscan.operators.skew import number_rows, spread_join
 from flockscan.storage import Saved, save
 
-# Once no more than this many edges are left, they are settled without further rounds.
-TAIL_EDGES = 1_000
-
-
 def _pairs(source: Column, target: Column, edges: DataFrame) -> DataFrame:
     """Distinct unordered pairs without loops, the form every round works on."""
     return (
@@ -68,28 +64,11 @@ def _contract(edges: Saved, picks: DataFrame) -> DataFrame:
     return _pairs(F.col("pick_a"), F.col("pick_b"), moved)
 
 
-def _last_picks(edges: Saved) -> DataFrame:
-    """Settle the at most ``TAIL_EDGES`` edges left over, where a round would cost more."""
-    pick: dict = {}
-
-    def follow(node):
-        while pick.setdefault(node, node) != node:
-            node = pick[node]
-        return node
-
-    for a, b in edges.frame.collect():
-        low, high = sorted((follow(a), follow(b)))
-        pick[high] = low
-    kind = edges.frame.schema["a"].dataType.simpleString()
-    rows = [(node, follow(node)) for node in list(pick)]
-    return edges.frame.sparkSession.createDataFrame(rows, f"id {kind}, pick {kind}")
-
-
 def component_roots(edges: DataFrame, nodes: DataFrame | None = None) -> Saved:
     """``(id, root)``: a root shared by exactly the nodes of one component."""
     left = save(_pairs(F.col("source"), F.col("target"), edges), "edges")
     rounds: list[Saved] = []
-    while left.rows > TAIL_EDGES:
+    while left.rows:
         # Every node ends an edge, so there are at most twice as many nodes as edges.
         hopped = _two_hops(_picks(left.frame, len(rounds)), rows=2 * left.rows)
         picks = save(hopped, "picks")
@@ -97,8 +76,6 @@ def component_roots(edges: DataFrame, nodes: DataFrame | None = None) -> Saved:
         smaller = save(_contract(left, picks.frame), "edges")
         left.discard()
         left = smaller
-    if left.rows:
-        rounds.append(save(_last_picks(left), "picks"))
     ids = endpoints(edges) if nodes is None else nodes.select("id").union(endpoints(edges)).distinct()
     if not rounds:
         return save(ids.withColumn("root", F.col("id")), "roots")

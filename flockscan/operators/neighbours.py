@@ -98,12 +98,22 @@ def _vectors(df: DataFrame, id_col: str, vec_col: str, name: str) -> DataFrame:
     )
 
 
-def _measure(base: DataFrame) -> tuple[int, int]:
-    """Number of base vectors and their dimension."""
+def _measure(vectors: DataFrame) -> tuple[int, int]:
+    """Number of vectors and their dimension; refuses vectors without a distance.
+
+    Both ways of searching would compare them differently, so none of them is let through.
+    """
     length = F.size("vec")
-    seen = base.agg(
-        F.count(F.lit(1)).alias("n"), F.min(length).alias("low"), F.max(length).alias("high")
+    endless = F.lit(float("inf"))
+    odd = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == endless))
+    seen = vectors.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(length).alias("low"),
+        F.max(length).alias("high"),
+        F.count_if(odd).alias("odd"),
     ).first()
+    if seen["odd"]:
+        raise ValueError(f"{seen['odd']} vectors have a missing, NaN or infinite value")
     if seen["n"] and seen["low"] != seen["high"]:
         raise ValueError(f"vectors have {seen['low']} to {seen['high']} values")
     return seen["n"], seen["high"] or 0
@@ -414,11 +424,16 @@ def nearest_neighbours(
     ``dist2`` is the squared distance; equal distances are ranked by id. Without
     ``base`` the queries are searched among themselves, each then being its own
     nearest unless ``exclude_self``. Fewer than ``k`` rows come back when the base
-    is smaller. Ids are unique integers.
+    is smaller. Ids are unique integers. Vectors that are NULL as a whole are left out on
+    both sides; a missing, NaN or infinite value, or vectors of different length, raise.
     """
     wanted_base = _vectors(queries if base is None else base, id_col, vec_col, "base_id")
     asked = _vectors(queries, id_col, vec_col, "query_id")
     rows, dim = _measure(wanted_base)
+    if base is not None:
+        asked_rows, asked_dim = _measure(asked)
+        if rows and asked_rows and asked_dim != dim:
+            raise ValueError(f"queries have {asked_dim} values, the base has {dim}")
     if not rows:
         return asked.sparkSession.createDataFrame([], RESULT)
     if rows * dim * 4 <= broadcast_bytes:

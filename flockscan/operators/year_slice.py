@@ -35,7 +35,8 @@ class TimeColumn:
     def value(self) -> Column:
         column = F.col(f"`{self.name}`")
         if self.nanoseconds:
-            return F.timestamp_micros(F.floor(column / 1000).cast("bigint"))
+            # Whole division, rounded down, as a double has too few digits.
+            return F.expr(f"timestamp_micros((bigint(`{self.name}`) - pmod(bigint(`{self.name}`), 1000)) div 1000)")
         return times.to_time(column, self.kind)
 
 

@@ -11,24 +11,51 @@ from pyspark.sql import types as T
 NESTED = (T.StructType, T.ArrayType, T.MapType)
 
 
-def fill_cores(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal a scan with fewer splits than cores over all of them.
+# Archives beyond this size have splits enough; they are never shuffled to fill cores.
+FILL_BYTES = 128 << 20
+# How text survives a CSV file: line breaks, quotes, outer blanks, and empty apart from missing.
+CSV_TEXT = {
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+    "emptyValue": '""',
+    "nullValue": "",
+}
 
-    Small archives often hold a single row group. A scan that already has a split
-    for every core is returned as it is, so a large archive is never shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
+def fill_cores(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal a small scan over all cores.
 
-def read_posts(spark: SparkSession, path: str | list[str], kind: str = "parquet") -> DataFrame:
-    """Read an archive; records that lack a field get NULL there."""
+    Small archives often hold a single row group. Beyond ``FILL_BYTES`` a scan is
+    returned as it is, whatever the number of cores.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > FILL_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
+def read_posts(
+    spark: SparkSession,
+    path: str | list[str],
+    kind: str = "parquet",
+    schema: T.StructType | str | None = None,
+) -> DataFrame:
+    """Read an archive; records that lack a field get NULL there.
+
+    With a ``schema`` nothing is read before the first row is asked for. Without one JSON
+    and CSV are read once more to infer it, of parquet the footers.
+    """
+    reader = spark.read if schema is None else spark.read.schema(schema)
     if kind == "parquet":
-        return spark.read.option("mergeSchema", True).parquet(*([path] if isinstance(path, str) else path))
+        paths = [path] if isinstance(path, str) else path
+        return reader.option("mergeSchema", schema is None).parquet(*paths)
     if kind == "json":
-        return spark.read.json(path)
+        return reader.json(path)
     if kind == "csv":
-        return spark.read.option("header", True).option("inferSchema", True).csv(path)
+        # An unquoted empty cell is read as the null value, which no text is equal to.
+        options = {**CSV_TEXT, "emptyValue": "", "nullValue": "\0", "header": True, "multiLine": True}
+        return reader.options(**options).csv(path, inferSchema=schema is None)
     raise ValueError(f"cannot read posts from {kind!r}")
 
 
@@ -45,7 +72,7 @@ def nested_to_json(df: DataFrame) -> DataFrame:
     """Struct, array and map columns as JSON text, for sinks that take flat rows only."""
     return df.select(
         *(
-            F.to_json(F.col(f"`{f.name}`")).alias(f.name)
+            F.to_json(F.col(f"`{f.name}`"), {"ignoreNullFields": "false"}).alias(f.name)
             if isinstance(f.dataType, NESTED)
             else F.col(f"`{f.name}`")
             for f in df.schema.fields
@@ -54,8 +81,12 @@ def nested_to_json(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Replace ``path`` by CSV files with a header."""
-    nested_to_json(df).write.mode("overwrite").option("header", True).csv(path)
+    """Replace ``path`` by CSV files with a header, to be read by ``read_posts``.
+
+    Texts come back as they were, with line breaks, quotes and outer blanks; an empty
+    text is told apart from a missing one.
+    """
+    nested_to_json(df).write.mode("overwrite").options(**CSV_TEXT, header=True).csv(path)
 
 
 def write_table(df: DataFrame, name: str = "tweets", path: str | None = None) -> None:

@@ -7,6 +7,7 @@ true sizes for the next step.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -31,7 +32,35 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/flockscan/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/flockscan/{label}-{uuid.uuid4().hex}"
+    if _WORKSPACES:
+        _WORKSPACES[-1].append(path)
+    return path
+
+
+# Open workspaces, each with the paths made within it.
+_WORKSPACES: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession):
+    """Deletes the intermediate tables made inside it when it is left.
+
+    Results read these tables, so they have to be written or collected before.
+    """
+    made: list[str] = []
+    _WORKSPACES.append(made)
+    try:
+        yield
+    finally:
+        _WORKSPACES.remove(made)
+        for path in made:
+            _delete(spark, path)
 
 
 @dataclass
@@ -48,9 +77,7 @@ class Saved:
 
     def discard(self) -> None:
         """Delete the files of a step that no later plan reads."""
-        spark = self.frame.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.frame.sparkSession, self.path)
 
 
 def save(df: DataFrame, label: str, **metrics: Column) -> Saved:

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from flockscan.operators import accounts
 
 TODAY = dt.date(2025, 3, 1)
+# The figures of the first five rows are those of the report in FIXTURES.md
+# section 6, under other names.
 # name, age, lifetime posts, followers, following, description, posts, engagements
 PEOPLE = [
     ("anna", 27, 3519, 111, 156, "hello", 8, 90),
     ("bert", 21, 1443, 85, 319, "hi", 8, 2),
     ("carl", 5, 290, 335, 341, "x", 4, 8),
-    ("dora", 29, 2825, 13, 33, "  ", 4, 4),
+    ("dora", 29, 2825, 13, 33, " \n\t", 4, 4),
     ("emil", 23, 3235, 285, 209, "y", 4, 21),
     ("fred", 0, 10, 1, 0, None, 1, 0),
     ("gina", 400, 99999, 5, 5, "old", 3, 3),
@@ -33,6 +35,7 @@ def profile(spark):
         "following bigint, description string",
     )
     posts = [(n, e if i == 0 else 0) for n, *_, k, e in PEOPLE for i in range(k)]
+    posts.append(("unlisted", 3))
     table = spark.createDataFrame(posts, "screen_name string, engagements bigint")
     return accounts.account_profile(table, people, F.lit(TODAY))
 
@@ -40,7 +43,9 @@ def profile(spark):
 def test_profile_formulas(profile):
     assert tuple(profile.columns) == accounts.REPORT
     got = {r["account_screen_name"]: r for r in profile.collect()}
-    assert set(got) == {p[0] for p in PEOPLE}
+    assert set(got) == {p[0] for p in PEOPLE} | {"unlisted"}
+    unlisted = got.pop("unlisted")
+    assert tuple(unlisted) == ("unlisted", None, 1, None, None, None, None, 3.0)
     anna = got["anna"]
     assert anna["posts_per_day"] == pytest.approx(130.33333333333334)
     assert anna["followers_following_ratio"] == pytest.approx(0.7115384615384616)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from oracle import compare, connect
 from pyspark.sql import functions as F
@@ -58,6 +60,16 @@ def test_saved_tables_live_in_the_named_folder(spark):
     assert storage.save(spark.range(0), "probe").rows == 0
 
 
+def test_workspace_leaves_nothing_behind(spark):
+    with storage.workspace(spark):
+        kept = storage.save(spark.range(3), "probe")
+        assert kept.frame.count() == 3 and Path(kept.path).exists()
+    assert not Path(kept.path).exists()
+    outside = storage.save(spark.range(3), "probe")
+    assert Path(outside.path).exists()
+    outside.discard()
+
+
 def test_a_cluster_must_name_its_folder():
     class Conf:
         def get(self, key, default=None):

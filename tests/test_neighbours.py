@@ -83,6 +83,22 @@ def test_empty_base_and_bad_dimensions(spark):
     assert rows(near.nearest_neighbours(missing, k=2)) == [(1, 1, 1, 0.0)]
 
 
+@pytest.mark.parametrize("broadcast_bytes", [near.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("bad", [[float("nan"), 1.0], [float("inf"), 1.0], [None, 1.0], [1.0], [1.0, 2.0, 3.0]])
+def test_both_ways_refuse_the_same_vectors(spark, broadcast_bytes, bad):
+    schema = "vec_id bigint, embedding array<float>"
+    clean = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(20)] + [(50, None)], schema)
+    odd = spark.createDataFrame([(99, bad)], schema)
+    search = lambda *tables: near.nearest_neighbours(*tables, k=2, broadcast_bytes=broadcast_bytes, block_rows=8)
+    assert search(clean).count() == 40
+    for tables in ((clean.union(odd),), (clean, clean.union(odd)), (odd, clean)):
+        with pytest.raises(ValueError, match="values?|value"):
+            search(*tables)
+    uneven = spark.createDataFrame([(1, [1.0]), (2, [2.0, 0.0, 7.0])], schema)
+    with pytest.raises(ValueError, match="1 to 3 values"):
+        search(uneven, clean)
+
+
 def test_small_base_search_has_no_shuffle(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     assert "Exchange" not in plan_of(near.nearest_neighbours(vectors))

@@ -6,9 +6,11 @@ import json
 import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flockscan.operators.text_column import guess_slice_text_column, guess_text_column
-from flockscan.operators.year_slice import PARSED, guess_time_column, with_time, year_slice
+from flockscan.functions.times import text_to_time
+from flockscan.operators.year_slice import PARSED, TimeColumn, guess_time_column, with_time, year_slice
 from flockscan.plans.archive import slice_archive
 from flockscan.sources import posts
 
@@ -32,6 +34,15 @@ TIMES = {
     "day first words": ("created_at string", "5 Oct 2025", "2025-10-05 00:00:00"),
     "month first words": ("created_at string", "Oct 15 2025 8:15", "2025-10-15 08:15:00"),
     "one digit platform day": ("created_at string", "Wed Oct 1 20:19:24 +0200 2025", "2025-10-01 18:19:24"),
+    "day first slashes": ("created_at string", "25/12/2025", "2025-12-25 00:00:00"),
+    "day first slashes with clock": ("created_at string", "25/12/2025 10:00:00", "2025-12-25 10:00:00"),
+    "digits only": ("created_at string", "20250102", "2025-01-02 00:00:00"),
+    "year and month": ("created_at string", "2025-10", "2025-10-01 00:00:00"),
+    "comma": ("created_at string", "Oct 10, 2025", "2025-10-10 00:00:00"),
+    "whole month name": ("created_at string", "10 October 2025", "2025-10-10 00:00:00"),
+    "mail": ("created_at string", "Wed, 10 Oct 2025 20:19:24 GMT", "2025-10-10 20:19:24"),
+    "fraction": ("created_at string", "2025/01/02 10:00:00.123", "2025-01-02 10:00:00.123"),
+    "afternoon": ("created_at string", "12/25/2025 01:05 PM", "2025-12-25 13:05:00"),
     "no such day": ("created_at string", "13/45/2025", None),
     "bad text": ("created_at string", "x", None),
     "clock only": ("created_at string", "10:00", None),
@@ -49,6 +60,41 @@ def test_time_of_each_kind(spark, case):
     assert with_time(df, chosen).select(F.col(PARSED).cast("string")).first()[0] == want
 
 
+def test_day_may_come_first(spark):
+    df = spark.createDataFrame([("10/12/2025",), ("12/25/2025",)], "t string")
+    read = df.select(text_to_time(F.col("t"), day_first=True).cast("date")).collect()
+    assert [str(r[0]) for r in read] == ["2025-12-10", "2025-12-25"]
+
+
+def test_nanoseconds_keep_their_digits(spark):
+    chosen = TimeColumn("n", T.LongType(), nanoseconds=True)
+    df = spark.createDataFrame([(1735689600123456999,), (-1,)], "n bigint")
+    read = df.select(chosen.value().cast("string")).collect()
+    assert [r[0] for r in read] == ["2025-01-01 00:00:00.123456", "1969-12-31 23:59:59.999999"]
+
+
+def test_texts_survive_csv(spark, tmp_path):
+    rows = [
+        (1, ' lead\n"q",x\\ ', ""),
+        (2, None, "a"),
+        (3, "\r\nz\r", None),
+        (4, '\\"', " "),
+        (5, "", '""'),
+        (6, "a,b\n\n,c", "NULL"),
+    ]
+    df = spark.createDataFrame(rows, "i int, a string, b string")
+    path = str(tmp_path / "csv")
+    posts.write_csv(df, path)
+    assert sorted(map(tuple, posts.read_posts(spark, path, "csv", df.schema).collect())) == rows
+    inferred = posts.read_posts(spark, path, "csv")
+    assert sorted(map(tuple, inferred.collect())) == rows
+
+
+def test_null_fields_stay_in_json(spark):
+    df = spark.createDataFrame([((None, "x"),)], "s struct<a: int, b: string>")
+    assert posts.nested_to_json(df).first()[0] == '{"a":null,"b":"x"}'
+
+
 def test_layouts_may_mix_in_one_column(spark):
     df = spark.createDataFrame(
         [("2025-03-01",), ("Wed Oct 10 20:19:24 +0000 2025",), ("y",)], "created_at string"
@@ -153,7 +199,7 @@ def test_archive_slice_and_sinks(spark, nested, tmp_path):
         nested, 2025, str(tmp_path / "csv"), "tweets_of_test", str(tmp_path / "table")
     )
     assert made.rows == 1 and made.text_column is None
-    back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
+    back = posts.read_posts(spark, str(tmp_path / "csv"), "csv")
     assert back.columns == made.posts.columns
     assert back.first()["tags"] == '["a","b"]'
     table = spark.table("tweets_of_test")
@@ -186,7 +232,8 @@ def test_one_shape_and_preview(spark):
     assert posts.column_preview(wide) == [f"c{i}" for i in range(50)]
 
 
-def test_fill_cores_leaves_full_scans_alone(spark):
-    few, many = spark.range(10).coalesce(1), spark.range(10).repartition(16)
+def test_fill_cores_leaves_large_scans_alone(spark, monkeypatch):
+    few = spark.range(10).coalesce(1)
     assert posts.fill_cores(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert posts.fill_cores(many) is many
+    monkeypatch.setattr(posts, "FILL_BYTES", 8)
+    assert posts.fill_cores(few) is few
