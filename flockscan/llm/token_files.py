@@ -29,7 +29,7 @@ SHARD_BYTES = 2 << 20
 ROUNDS, RULES_PER_ROUND, LEAST_COUNT = 4, 1_000, 48
 COUNTERS = 1 << 20
 # Pieces of text whose ids a worker remembers, and pieces handed to the library at once.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 PIECES = 2_048
 
 # Encoding
@@ -67,7 +67,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.keys = np.empty(0, np.uint64)
-        self.places = np.empty((0, 2), np.int64)
+        self.places = np.empty((0, 2), np.int32)
         self.ids = np.empty(0, np.int32)
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,9 +105,10 @@ class Encoder:
             self.ids = np.concatenate([self.ids, ids])
             to = np.searchsorted(self.keys, keys[new])
             self.keys = np.insert(self.keys, to, keys[new])
-            self.places = np.insert(self.places, to, np.stack([begin, lengths], 1), axis=0)
+            places = np.stack([begin, lengths], 1).astype(np.int32)
+            self.places = np.insert(self.places, to, places, axis=0)
             slot = np.searchsorted(self.keys, keys)
-        begin, length = self.places[slot].T
+        begin, length = self.places[slot].astype(np.int64).T
         length = length[code]
         total = np.concatenate([[0], np.cumsum(length)])
         index = np.repeat(begin[code] - total[:-1], length) + np.arange(total[-1])
