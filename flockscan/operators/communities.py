@@ -198,7 +198,7 @@ def communities(
     resolution: float = 1.0,
     name: str = "modularity",
     movers: float = 0.6,
-    quiet_rounds: int = 4,
+    quiet_rounds: int = 2,
     least_rise: float = 1e-7,
 ) -> DataFrame:
     """``(id, name)`` with communities numbered 0, 1, ... by falling size.
