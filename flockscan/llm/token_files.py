@@ -69,6 +69,20 @@ class Encoder:
         self.keys = np.empty(0, np.uint64)
         self.places = np.empty((0, 2), np.int32)
         self.ids = np.empty(0, np.int32)
+        self.again = np.empty(0, bool)
+
+    def thin(self) -> None:
+        """Forget what came up in one block only; all if that is too little."""
+        keep = np.flatnonzero(self.again)
+        if len(keep) > self.remembered // 2:
+            self.forget()
+            return
+        begin, length = self.places[keep].astype(np.int64).T
+        total = np.concatenate([[0], np.cumsum(length)])
+        self.ids = self.ids[np.repeat(begin - total[:-1], length) + np.arange(total[-1])]
+        self.keys = self.keys[keep]
+        self.places = np.stack([total[:-1], length], 1).astype(np.int32)
+        self.again = np.zeros(len(keep), bool)
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, lengths)`` of pieces; a batch keeps the library's per-call cost low."""
@@ -80,7 +94,9 @@ class Encoder:
             found.append(np.fromiter((i for own in ids for i in own), np.int32))
         return np.concatenate(found), np.array(lengths, np.int64)
 
-    def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(
+        self, data: np.ndarray, at: np.ndarray, thinned: bool = False
+    ) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, counts)`` of all texts, one after the other."""
         starts, first = _cuts(data, at)
         if not len(starts):
@@ -91,11 +107,15 @@ class Encoder:
         keys, where, code = np.unique(word_hashes(words), return_index=True, return_inverse=True)
         slot = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         known = self.keys[slot] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        self.again[slot[known]] = True
         new = np.flatnonzero(~known)
         if len(new):
             if len(self.keys) + len(new) > self.remembered and len(self.keys):
-                self.forget()
-                return self(data, at)
+                if thinned:
+                    self.forget()
+                else:
+                    self.thin()
+                return self(data, at, thinned=True)
             raw = data.tobytes()
             pieces = [
                 raw[s:e].decode() for s, e in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)
@@ -107,6 +127,7 @@ class Encoder:
             self.keys = np.insert(self.keys, to, keys[new])
             places = np.stack([begin, lengths], 1).astype(np.int32)
             self.places = np.insert(self.places, to, places, axis=0)
+            self.again = np.insert(self.again, to, False)
             slot = np.searchsorted(self.keys, keys)
         begin, length = self.places[slot].astype(np.int64).T
         length = length[code]
