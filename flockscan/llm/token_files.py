@@ -9,6 +9,7 @@ decoded without expanding what lies before it.
 
 from __future__ import annotations
 
+import os
 import sys
 import types
 import zlib
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 from flockscan.llm.words import blocks, release_memory, split_words, text_buffer, word_hashes
 
 END_ID = 0
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 # Rounds of replacement, nonterminals made in each, and how often a pair must occur.
-ROUNDS, RULES_PER_ROUND, LEAST_COUNT = 4, 1_000, 48
-COUNTERS = 1 << 20
+ROUNDS, RULES_PER_ROUND, LEAST_COUNT = 4, 500, 24
+COUNTERS = 1 << 19
 # Pieces of text whose ids a worker remembers, and pieces handed to the library at once.
 REMEMBERED = 1_000_000
 PIECES = 2_048
@@ -59,6 +60,8 @@ class Encoder:
     """Encodes texts with a tokenizer, each distinct piece of text once."""
 
     def __init__(self, definition: str, remembered: int = REMEMBERED):
+        # One thread: a task has one core, and each thread would hold memory of its own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -325,8 +328,9 @@ def _shards(batches: Iterator[pa.RecordBatch], definition: str, end_id: int) ->
                 ]
             ),
         )
-        start += len(ids)
-    release_memory()
+        start += int(counts.sum())
+        del ids, counts, grammar, symbols, left, rules
+        release_memory()
 
 
 def write_token_files(documents: DataFrame, path: str, definition: str, end_id: int = END_ID) -> None:

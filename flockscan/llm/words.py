@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -77,7 +76,6 @@ def blocks(
 
 def release_memory() -> None:
     """Hand freed memory back to the system, as workers live on after their task."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     # Of the C library here; others give memory back by themselves or not at all.
     with contextlib.suppress(OSError, AttributeError):
