@@ -364,6 +364,13 @@ def test_bands_reject_gibberish(spark):
     assert all(r["kept"] or r["base_failed"] for i, r in judged.items() if i != 999)
 
 
+def test_bands_of_equal_scores_keep_them(spark):
+    text = " ".join(f"w{i} of many" for i in range(60))
+    same = [(i, text, "en") for i in range(9)] + [(9, text + " and one more", "en")]
+    judged = perplexity.judge_quality(spark.createDataFrame(same, "doc_id bigint, text string, lang string"))
+    assert all(r["kept"] for r in judged.collect() if not r["base_failed"] and r["doc_id"] < 9)
+
+
 def test_quality_on_odd_rows(odd_documents, no_documents):
     rows = perplexity.judge_quality(odd_documents, languages=1).collect()
     assert len(rows) == 18 and {r["lang"] for r in rows} == {"", "de", "en", "fr"}

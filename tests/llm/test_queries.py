@@ -94,6 +94,14 @@ def test_quality_keeps_good_documents(spark, sf_dir):
     assert all(r["kept"] for r in rows if labels.get(r["doc_id"]) == 1 and not r["base_failed"])
 
 
+def test_bands_reject_junk_that_passes_the_base_rules(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = [r for r in queries.op7_quality_rules(spark, sf_dir).collect() if not r["base_failed"]]
+    junk, clean = ([r["kept"] for r in rows if labels.get(r["doc_id"]) == label] for label in (0, 1))
+    assert np.mean(junk) < 0.3 and np.mean(clean) > 0.98
+
+
 def test_weak_labels_meet_the_given_ones(spark):
     sf_dir = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
