@@ -24,7 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, fingerprints within 6 of 64 bits."""
+    """One document of each group stays: five-word shingles, fingerprints within 6 of 64 bits
+    or sets of shingles with a Jaccard similarity of 0.8 or more."""
     return first_of_each(docs)
 
 

@@ -128,6 +128,43 @@ def test_first_of_each_keeps_one_row(odd_documents, no_documents):
     assert simhash.first_of_each(no_documents).count() == 0
 
 
+def test_first_of_each_finds_all_similar_texts(spark):
+    rng = np.random.default_rng(8)
+    texts = []
+    for _ in range(25):
+        base = rng.integers(0, 5000, rng.integers(60, 400))
+        texts.append(base)
+        for share in (0.01, 0.02, 0.03, 0.04, 0.06):
+            copy = base.copy()
+            copy[rng.random(len(copy)) < share] = 9999
+            texts.append(copy)
+        # Every one alike to the crowd's first, at the end of the text.
+        texts += [np.concatenate([base, rng.integers(0, 5000, len(base) // 6)]) for _ in range(4)]
+    texts = [[f"w{x}" for x in text] for text in texts]
+    rows = [(i, " ".join(text)) for i, text in enumerate(texts)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    sets = [{tuple(text[i : i + 5]) for i in range(len(text) - 4)} for text in texts]
+    prints = {r["doc_id"]: r["fingerprint"] % 2**64 for r in simhash.fingerprints(documents, 5).collect()}
+    root, far = list(range(len(texts))), 0
+
+    def follow(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            similar = len(a & sets[j]) / len(a | sets[j]) >= 0.8
+            within = (prints[i] ^ prints[j]).bit_count() <= 6
+            far += similar and not within
+            if similar or within:
+                x, y = follow(i), follow(j)
+                root[max(x, y)] = min(x, y)
+    assert far > 50
+    kept = {r["doc_id"] for r in simhash.first_of_each(documents).collect()}
+    assert kept == {i for i in range(len(texts)) if follow(i) == i}
+
+
 # Token files
 
 
