@@ -15,7 +15,7 @@ from flockscan.llm.perplexity import keep_good
 from flockscan.llm.queries import tokenizer_definition
 from flockscan.llm.simhash import first_of_each
 from flockscan.llm.token_files import read_token_files, write_token_files
-from flockscan.storage import new_path
+from flockscan.storage import new_path, workspace
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, fingerprints within 6 of 64 bits
-    or sets of shingles with a Jaccard similarity of 0.8 or more."""
+    """One document of each group stays: four-word shingles, fingerprints within 4 of 64 bits."""
     return first_of_each(docs)
 
 
@@ -63,6 +62,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         path = new_path(spark, "stage")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        # What a stage stored on its way goes as soon as its result is written.
+        with workspace(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
