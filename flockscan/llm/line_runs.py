@@ -81,8 +81,10 @@ def remove_repeated_runs(documents: DataFrame, min_lines: int = MIN_LINES) -> Da
     removed = copies.select("doc", "key", F.explode(F.sequence("pos", F.col("pos") + min_lines - 1)).alias("gone"))
     removed = removed.groupBy("doc", "key").agg(F.collect_set("gone").alias("gone"))
 
-    found = keyed.join(removed, ["doc", "key"], "left")
-    every = F.split("text", "\n", -1)
+    # Split below the join, so that a line is taken from a stored array, not from the text again.
+    cut = keyed.select("doc", "key", F.split("text", "\n", -1).alias("lines"))
+    found = cut.join(removed, ["doc", "key"], "left")
+    every = F.col("lines")
     places = F.sequence(F.lit(0), F.size(every) - 1)
     left = F.transform(F.array_except(places, F.col("gone")), lambda i: F.get(every, i))
     whole = F.col("gone").isNull()
@@ -90,5 +92,5 @@ def remove_repeated_runs(documents: DataFrame, min_lines: int = MIN_LINES) -> Da
         F.nullif("doc", F.lit(NO_ID)).alias("doc_id"),
         F.coalesce(F.size(every), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.when(whole, F.col("text")).otherwise(F.array_join(left, "\n")).alias("kept"),
+        F.array_join(F.when(whole, every).otherwise(left), "\n").alias("kept"),
     )

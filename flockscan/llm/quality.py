@@ -128,7 +128,9 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in blocks(batches):
         votes = votes_of(statistics(*text_buffer(batch.column("text"))))
         code = (votes.astype(np.int64) + 1) @ base
-        yield pa.record_batch([batch.column("draw"), pa.array(code, pa.int32())], ["draw", "pattern"])
+        yield pa.record_batch(
+            [batch.column("draw"), batch.column("text_key"), pa.array(code, pa.int32())], ["draw", "text_key", "pattern"]
+        )
 
 
 # The label model
@@ -210,8 +212,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shares = n / max(n.sum(), 1) * np.sqrt(FEATURES)
             value.append(np.concatenate([shares, np.ones(len(steps[i]) + 1)]).astype("<f4").tobytes())
         yield pa.record_batch(
-            [batch.column("draw"), batch.column("posterior"), pa.array(index, pa.binary()), pa.array(value, pa.binary())],
-            ["draw", "posterior", "index", "value"],
+            [
+                *(batch.column(c) for c in ("draw", "text_key", "posterior")),
+                pa.array(index, pa.binary()),
+                pa.array(value, pa.binary()),
+            ],
+            ["draw", "text_key", "posterior", "index", "value"],
         )
 
 
@@ -239,7 +245,7 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     batches = list(batches)
     if not batches:
         return
-    rows = pa.Table.from_batches(batches).sort_by([("draw", "ascending"), ("index", "ascending")])
+    rows = pa.Table.from_batches(batches).sort_by([("draw", "ascending"), ("text_key", "ascending")])
     index = [np.frombuffer(x.as_py(), "<i4") for x in rows["index"]]
     value = [np.frombuffer(x.as_py(), "<f4") for x in rows["value"]]
     weights = fit_scorer(index, value, np.asarray(rows["posterior"], np.float64))
@@ -266,7 +272,8 @@ def classify_quality(
     ``pattern`` has the labellers' votes as digits to base 3, ``posterior`` is the label
     model's chance that the document is good, ``score`` the scorer's; it is kept from
     ``threshold`` on. Votes are counted and documents scored over the whole table; the
-    scorer is trained on at most ``train_rows`` of them, those of least random draw.
+    scorer is trained on at most ``train_rows`` of them, those of least random draw, of equal
+    draws those of least hash of their text, so that scores don't depend on the rows' order.
 
     A null text is one without words. Repeated rows each count and are scored alike. A null
     ``doc_id`` is an id like any other. Other columns are ignored; an empty table gives an
@@ -277,7 +284,8 @@ def classify_quality(
     drawn = documents.select(
         "doc_id", F.xxhash64("text").alias("text_key"), draw(F.lit("train"), doc).alias("draw"), "text"
     )
-    voted = save(drawn.select("draw", "text").mapInArrow(_patterns, "draw long, pattern int"), "votes").frame
+    votes = drawn.select("draw", "text_key", "text").mapInArrow(_patterns, "draw long, text_key long, pattern int")
+    voted = save(votes, "votes").frame
     # At most 3 to the power of the number of labellers.
     counted = sorted(map(tuple, voted.groupBy("pattern").count().collect()))
     patterns, counts = np.array(counted, np.int64).reshape(-1, 2).T
@@ -285,15 +293,17 @@ def classify_quality(
     known = spark.createDataFrame(
         [(int(p), float(q)) for p, q in zip(patterns, model["posterior"], strict=True)], "pattern int, posterior double"
     )
-    least = voted.select("draw").orderBy("draw").limit(train_rows)
-    bound = least.agg(F.max("draw")).first()[0]
-    # More rows than that only if equal ids are drawn alike.
-    sample = drawn.filter(F.col("draw") <= F.lit(bound)).select("draw", "text")
-    base = sample.mapInArrow(_sample_patterns, "draw long, text string, pattern int").join(known, "pattern")
-    features = base.select("draw", "posterior", "text").mapInArrow(
-        _features, "draw long, posterior double, index binary, value binary"
+    order = F.struct("draw", "text_key")
+    least = voted.select(order.alias("place")).orderBy("place").limit(train_rows)
+    bound = least.agg(F.max("place")).first()[0] or (None, None)
+    # More rows than that only if rows are equal in id and text; any of these will do.
+    sample = drawn.filter(order <= F.struct(*(F.lit(x).cast("long") for x in bound))).select("draw", "text_key", "text")
+    base = sample.mapInArrow(_sample_patterns, "draw long, text_key long, text string, pattern int")
+    features = base.join(known, "pattern").select("draw", "text_key", "posterior", "text").mapInArrow(
+        _features, "draw long, text_key long, posterior double, index binary, value binary"
     )
-    fitted = features.limit(train_rows).coalesce(1).mapInArrow(_fit, "weights binary").first()
+    trained = features.orderBy("draw", "text_key").limit(train_rows)
+    fitted = trained.coalesce(1).mapInArrow(_fit, "weights binary").first()
     weights = spark.sparkContext.broadcast(np.frombuffer(fitted[0], "<f8") if fitted else np.zeros(WEIGHTS))
     kind = documents.schema["doc_id"].dataType.simpleString()
     judged = drawn.select("doc_id", "text_key", "text").mapInArrow(
@@ -307,4 +317,4 @@ def classify_quality(
 def _sample_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in blocks(batches):
         (codes,) = _patterns([batch])
-        yield pa.record_batch([*batch.columns, codes.column("pattern")], ["draw", "text", "pattern"])
+        yield pa.record_batch([*batch.columns, codes.column("pattern")], ["draw", "text_key", "text", "pattern"])

@@ -6,9 +6,6 @@ differs in at most l * distance / BOXES bits. So a first segment is equal, and i
 chain after it only a few segments may differ at all: the segments that must be equal
 make the keys of an equi-join. What meets on a key has to stay within the budget of every
 longer chain, one after the other; the chain around the whole ring is the Hamming check.
-
-Texts of a given similarity may lie further apart than 64 bits can tell from chance. They
-are found by least shingle hashes in bands, and their shingle sets are compared.
 """
 
 from __future__ import annotations
@@ -25,9 +22,7 @@ from pyspark.sql import functions as F
 from flockscan.llm.words import (
     BLANK_PARTED,
     LOWER,
-    binaries,
     blocks,
-    mixed,
     spare_name,
     split_words,
     text_buffer,
@@ -40,9 +35,6 @@ BOX_BITS = BITS // BOXES
 SEED = 42
 # Fingerprints of one key compared in one piece; a key with more is dealt out in pairs of pieces.
 PIECE = 4_096
-# A text has so many bands of so many least hashes; texts that share a band are compared. At
-# a Jaccard similarity of 0.8 two texts share none with a chance of (1 - 0.8^4)^32 = 5e-8.
-BANDS, BAND_ROWS = 32, 4
 
 # Fingerprints
 
@@ -86,23 +78,6 @@ def _majorities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return prints
 
 
-_FACTORS = mixed(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-
-
-def _bands(hashes: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """For each text ``BANDS`` hashes, each of ``BAND_ROWS`` least hashes; none without hashes."""
-    full = np.flatnonzero(counts)
-    out = np.empty((len(full), BANDS), np.uint64)
-    heads = (np.cumsum(counts) - counts)[full]
-    for band in range(BANDS if len(full) else 0):
-        key = np.full(len(full), band, np.uint64)
-        for factor in _FACTORS[band * BAND_ROWS : (band + 1) * BAND_ROWS]:
-            key = mixed(key ^ np.minimum.reduceat(hashes * factor, heads))
-        out[:, band] = key
-    ends = np.concatenate([[0], np.cumsum(np.where(counts > 0, BANDS, 0))])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out.reshape(-1).view(np.int64)))
-
-
 def _hashes(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
     """``(hashes, counts)`` of the shingles of each text, one text after the other."""
     joined, starts, ends, counts = _shingles(*text_buffer(batch.column("text")), size)
@@ -115,26 +90,19 @@ def _hashes(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes, counts
 
 
-def _prints(batches: Iterator[pa.RecordBatch], size: int, banded: bool) -> Iterator[pa.RecordBatch]:
+def _prints(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in blocks(batches):
-        hashes, counts = _hashes(batch, size)
-        made = {"fingerprint": pa.array(_majorities(hashes, counts).view(np.int64))}
-        if banded:
-            made["bands"] = _bands(hashes, counts)
+        prints = pa.array(_majorities(*_hashes(batch, size)).view(np.int64))
         rest = [c for c in batch.schema.names if c != "text"]
-        yield pa.record_batch([*(batch.column(c) for c in rest), *made.values()], [*rest, *made])
-
+        yield pa.record_batch([*(batch.column(c) for c in rest), prints], [*rest, "fingerprint"])
 
-def fingerprints(documents: DataFrame, shingle: int = 4, banded: bool = False) -> DataFrame:
-    """The columns of ``documents`` but ``text``, and ``fingerprint``, 64 bits as a long.
 
-    With ``banded`` also ``bands``, an array of ``BANDS`` hashes, empty for a text without words.
-    """
-    made = {"fingerprint": "long"} | ({"bands": "array<long>"} if banded else {})
-    rest = [f for f in documents.schema.fields if f.name not in ("text", *made)]
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"{c} {t}" for c, t in made.items()]
+def fingerprints(documents: DataFrame, shingle: int = 4) -> DataFrame:
+    """The columns of ``documents`` but ``text``, and ``fingerprint``, 64 bits as a long."""
+    rest = [f for f in documents.schema.fields if f.name not in ("text", "fingerprint")]
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["fingerprint long"]
     return documents.select(*(f"`{f.name}`" for f in rest), "text").mapInArrow(
-        lambda batches: _prints(batches, shingle, banded), ", ".join(schema)
+        lambda batches: _prints(batches, shingle), ", ".join(schema)
     )
 
 
@@ -344,81 +312,15 @@ def near_links(prints: DataFrame, distance: int = 4, chain: int = 5, piece: int
     return links.select(F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target")).distinct()
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """``(text_key, shingles)``: the sorted distinct shingle hashes of each text."""
-    for batch in blocks(batches):
-        hashes, counts = _hashes(batch, size)
-        own = [np.unique(part) for part in np.split(hashes, np.cumsum(counts)[:-1])]
-        cells = binaries(np.concatenate([*own, np.empty(0, np.uint64)]), 8 * np.cumsum([len(part) for part in own]))
-        yield pa.record_batch([batch.column("text_key"), cells], ["text_key", "shingles"])
-
-
-def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """The rows whose two sets of shingles have at least this Jaccard similarity."""
-    for batch in batches:
-        near = []
-        for left, right in zip(batch.column("left_set"), batch.column("right_set"), strict=True):
-            a, b = (np.frombuffer(cell.as_buffer(), np.uint64) for cell in (left, right))
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            near.append(both / (len(a) + len(b) - both) >= similarity)
-        yield batch.select(["source", "target"]).filter(pa.array(near, pa.bool_()))
-
-
-def similar_links(
-    documents: DataFrame, marked: DataFrame, roots: DataFrame, shingle: int, similarity: float, hubs: bool
-) -> DataFrame:
-    """``(source, target)``: links between fingerprints of texts with similar shingle sets.
-
-    Compared are texts that share a band and are not connected by ``roots`` yet: with ``hubs``
-    each with one text of the band only, else with all. ``marked`` has a row per text with its
-    ``text_key``, ``fingerprint`` and ``bands``.
-    """
-    rooted = marked.join(roots.withColumnRenamed("id", "fingerprint"), "fingerprint", "left")
-    rows = rooted.select(
-        F.explode("bands").alias("key"), F.coalesce("root", "fingerprint").alias("root"), "text_key", "fingerprint"
-    )
-    # What meets within one component only needs no comparison.
-    spans = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    met = save(rows.join(spans, "key", "left_semi"), "met").frame
-    one = ("root", "text_key", "fingerprint")
-    first, second = (met.select("key", F.struct(*one).alias(side)) for side in "ab")
-    if hubs:
-        first = first.groupBy("key").agg(F.min("a").alias("a"))
-    pairs = first.join(second, "key").filter("a.root < b.root").select("a", "b").distinct()
-    pairs = save(pairs, "pairs").frame
-    needed = pairs.select("a.text_key").union(pairs.select("b.text_key")).distinct()
-    texts = documents.select("text_key", "text").join(needed, "text_key", "left_semi").dropDuplicates(["text_key"])
-    sets = save(texts.mapInArrow(lambda b: _sets(b, shingle), "text_key long, shingles binary"), "sets").frame
-    left = sets.select(F.col("text_key").alias("left_key"), F.col("shingles").alias("left_set"))
-    right = sets.select(F.col("text_key").alias("right_key"), F.col("shingles").alias("right_set"))
-    sided = pairs.select(
-        F.col("a.text_key").alias("left_key"),
-        F.col("b.text_key").alias("right_key"),
-        F.col("a.fingerprint").alias("source"),
-        F.col("b.fingerprint").alias("target"),
-    )
-    compared = sided.join(left, "left_key").join(right, "right_key")
-    compared = compared.select("source", "target", "left_set", "right_set")
-    found = compared.mapInArrow(lambda b: _similar(b, similarity), "source long, target long")
-    return found.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"))
-
-
 def near_duplicates(
-    documents: DataFrame,
-    shingle: int = 4,
-    distance: int = 4,
-    chain: int = 5,
-    piece: int = PIECE,
-    similarity: float | None = None,
+    documents: DataFrame, shingle: int = 4, distance: int = 4, chain: int = 5, piece: int = PIECE
 ) -> DataFrame:
     """``(doc_id, text_key, fingerprint, component_id)`` for every row of ``documents``.
 
     Words are parted by ASCII white space, A-Z lower-cased. Bit b of a fingerprint is 1 if
     over half of the text's shingles have it set in their XXH64 with seed 42. Texts whose
     fingerprints differ in at most ``distance`` bits are linked; ``component_id`` is the
-    least ``doc_id`` that links lead to, ``text_key`` the XXH64 of the text. With
-    ``similarity`` texts are linked as well whose sets of shingles have at least this
-    Jaccard similarity, which should be 0.8 or more (see ``BANDS``).
+    least ``doc_id`` that links lead to, ``text_key`` the XXH64 of the text.
 
     A text of fewer words than a shingle is one shingle; a null text, or one without words,
     has fingerprint zero and is linked like any other. Repeated rows stay. A null
@@ -426,17 +328,8 @@ def near_duplicates(
     columns are ignored; an empty table gives an empty one.
     """
     keyed = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    marked = save(fingerprints(keyed, shingle, similarity is not None), "fingerprints").frame
-    links = near_links(marked, distance, chain, piece)
-    roots = component_roots(links).frame
-    if similarity is not None:
-        texts = save(marked.drop("doc_id").dropDuplicates(["text_key"]), "texts").frame
-        # Crowds of similar texts are first connected through one of them.
-        for hubs in (True, False):
-            more = save(similar_links(keyed, texts, roots, shingle, similarity, hubs), "similar")
-            if more.rows:
-                links = links.union(more.frame)
-                roots = component_roots(links).frame
+    marked = save(fingerprints(keyed, shingle), "fingerprints").frame
+    roots = component_roots(near_links(marked, distance, chain, piece)).frame
     least = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     rooted = least.join(roots.withColumnRenamed("id", "fingerprint"), "fingerprint", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "fingerprint"))
@@ -445,15 +338,13 @@ def near_duplicates(
     return marked.join(named, "fingerprint").select("doc_id", "text_key", "fingerprint", "component_id")
 
 
-def first_of_each(
-    documents: DataFrame, shingle: int = 5, distance: int = 6, chain: int = 5, similarity: float = 0.8
-) -> DataFrame:
+def first_of_each(documents: DataFrame, shingle: int = 4, distance: int = 4, chain: int = 5) -> DataFrame:
     """``documents`` with one row of each group of near-duplicates; columns as they were.
 
     The row with the least ``doc_id`` stays, of equal ids that with the least hash of its
     text; a null id comes last. Of rows equal in both one stays.
     """
-    found = save(near_duplicates(documents, shingle, distance, chain, similarity=similarity), "found").frame
+    found = save(near_duplicates(documents, shingle, distance, chain), "found").frame
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     # Without any id in a component its fingerprint tells it from others.
     group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")))

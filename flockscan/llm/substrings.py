@@ -28,6 +28,7 @@ from flockscan.llm.words import (
     text_buffer,
     word_hashes,
 )
+from flockscan.storage import save
 
 WINDOW = 20
 GRAM = 6
@@ -190,11 +191,12 @@ def repeated_windows(
         lambda batches: _anchors(batches, window), ANCHORS
     )
     met = seeds.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
-    found = met.mapInArrow(lambda batches: _repeats(batches, remembered), FOUND)
+    found = save(met.mapInArrow(lambda batches: _repeats(batches, remembered), FOUND), "repeats").frame
     # Only of anchors with more windows than a task remembers; few rows for each window.
     order = Window.partitionBy("anchor", "window").orderBy("doc_id", "start")
-    settled = F.when(F.col("window").isNotNull(), F.row_number().over(order)).otherwise(2) > 1
-    return found.select("*", settled.alias("repeat")).filter("repeat").select("doc_id", "start", "n")
+    numbered = found.filter("window IS NOT NULL").withColumn("number", F.row_number().over(order))
+    settled = numbered.filter("number > 1").union(found.filter("window IS NULL").withColumn("number", F.lit(2)))
+    return settled.select("doc_id", "start", "n")
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:

@@ -111,7 +111,8 @@ def write_archives(
     Of rows with equal payloads of at least ``least_bytes`` the one with the largest
     ``page_id`` is a response, the others revisit it; smaller payloads are all responses.
     A null HTML counts as empty, a null URL as an empty one. Repeated rows get a record
-    each, rows equal to the response in id and URL are responses too. A null ``page_id``
+    each, rows equal to the response in id and URL are responses too. Rows that share only
+    these two are records of different names. A null ``page_id``
     comes before all others. Other columns are ignored.
     """
     html = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
@@ -121,7 +122,7 @@ def write_archives(
     rows = rows.withColumns(
         {
             "digest": F.unhex(F.sha1("html")),
-            "name": F.concat(F.lit("<urn:page:"), id_text, F.lit(":"), F.hex(F.xxhash64("url")), F.lit(">")),
+            "name": F.concat(F.lit("<urn:page:"), id_text, F.lit(":"), F.hex(F.xxhash64("url")), F.lit(":"), F.sha1("html"), F.lit(">")),
         }
     )
     first = rows.filter(F.octet_length("html") >= least_bytes).groupBy("digest")
@@ -229,7 +230,7 @@ ROWS = 2_000
 
 
 def _page_id(name: str | None) -> int | None:
-    """From ``<urn:page:12:hash>``."""
+    """From ``<urn:page:12:hash:digest>``."""
     number = name.split(":")[2] if name else ""
     return int(number) if number else None
 
