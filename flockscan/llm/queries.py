@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from flockscan.llm.decontaminate import find_contamination
 from flockscan.llm.line_runs import remove_repeated_runs
+from flockscan.llm.manifest import merkle_manifest
 from flockscan.llm.mixing import plan_mixture
 from flockscan.llm.perplexity import judge_quality
 from flockscan.llm.quality import classify_quality
 from flockscan.llm.simhash import near_duplicates
 from flockscan.llm.substrings import remove_repeats
+from flockscan.llm.token_counts import count_tokens
 from flockscan.llm.token_files import read_token_files, write_token_files
 from flockscan.llm.urls import judge_urls
 from flockscan.llm.warc import read_archives, write_archives
@@ -126,6 +128,32 @@ def op10_quality_classifier(spark, sf_dir):
     )
 
 
+def op12_merkle_manifest(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents")
+    # Wider than a long, so that adding to the largest one is no error.
+    more = F.col("n_chars").cast("decimal(20,0)") + 1
+    proved = merkle_manifest(
+        documents,
+        ["doc_id", "source", "lang", "n_chars", "text"],
+        altered=F.crc32(F.col("doc_id").cast("string")) % 7 == 0,
+        changed={"n_chars": more},
+    )
+    siblings = F.flatten(F.transform("proof", lambda step: F.array(step["left"], step["right"])))
+    return proved.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(F.array_join(siblings, ""), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_token_counts(spark, sf_dir):
+    return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_definition())
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_files": op2_token_files,
@@ -137,6 +165,8 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_token_counts": op13_token_counts,
 }
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -148,6 +178,30 @@ _BASE32_SQL = """list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
             FOR i IN range(32)], 'string_agg', '')"""
 
 
+# CRC-32 of a decimal number, bit by bit: each byte enters, then eight shifts.
+_CRC32_SQL = """xor(list_reduce(flatten([[CAST(ord(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]
+            FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]),
+            lambda crc, byte: xor(xor(crc, byte) >> 1, (xor(crc, byte) & 1) * 3988292384),
+            CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = ("CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text")
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def _fold_sql(nodes: str, tree: str) -> str:
+    """One level up: the digest with its sibling, and the proof so far."""
+    return f"""
+            SELECT f.doc_id, f.tree, f.level + 1, f.place // 2,
+                sha256(CASE WHEN s.digest IS NULL THEN f.digest
+                    WHEN f.place % 2 = 0 THEN f.digest || s.digest ELSE s.digest || f.digest END),
+                f.proof || coalesce(s.digest, ''), (f.n + 1) // 2
+            FROM f LEFT JOIN {nodes} s
+                ON s.tree = {tree} AND s.level = f.level AND s.place = xor(f.place, 1)
+            WHERE f.n > 1"""
+
+
 def mixing_sql(documents: str) -> str:
     """Rows of ``plan_mixture`` over the named table, with whole columns of it beside them."""
     draw = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
@@ -242,6 +296,44 @@ ORACLE_SQL = {
             CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN page_id <> first THEN first END AS refers_to
         FROM named""",
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE
+        leaves AS (
+            SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf,
+                CASE WHEN {_CRC32_SQL} % 7 = 0 THEN {_leaf_sql("n_chars + 1")} ELSE {_leaf_sql("n_chars")} END AS claim
+            FROM documents
+        ),
+        placed AS (
+            SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+                row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place,
+                count(*) OVER (PARTITION BY lang) AS n
+            FROM leaves
+        ),
+        nodes(tree, level, place, digest, n) AS (
+            SELECT tree, 0, place, leaf, n FROM placed
+            UNION ALL
+            SELECT tree, level + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), (any_value(n) + 1) // 2
+            FROM nodes WHERE n > 1 GROUP BY tree, level, place // 2
+        ),
+        subroots AS (SELECT tree, digest AS subroot FROM nodes WHERE n = 1),
+        heads(tree, level, place, digest, n) AS (
+            SELECT 0, 0, tree, subroot, (SELECT count(*) FROM subroots) FROM subroots
+            UNION ALL
+            SELECT tree, level + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), (any_value(n) + 1) // 2
+            FROM heads WHERE n > 1 GROUP BY tree, level, place // 2
+        ),
+        f(doc_id, tree, level, place, digest, proof, n) AS (
+            SELECT doc_id, tree, 0, place, claim, '', n FROM placed
+            UNION ALL {_fold_sql("nodes", "f.tree")}
+        ),
+        g(doc_id, tree, level, place, digest, proof, n) AS (
+            SELECT doc_id, tree, 0, tree, digest, proof, (SELECT count(*) FROM subroots) FROM f WHERE n = 1
+            UNION ALL {_fold_sql("heads", "0").replace("f.", "g.").replace("FROM f", "FROM g")}
+        )
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, digest AS folded_root, digest = root AS verified
+        FROM g JOIN leaves USING (doc_id) JOIN subroots USING (tree)
+            JOIN (SELECT digest AS root FROM heads WHERE n = 1) ON true
+        WHERE n = 1""",
     "op3_url_filter": f"""
         WITH rules(rule_host, rule_path, verdict) AS (VALUES {_RULES_SQL}),
         cut AS (
