@@ -19,6 +19,7 @@ from flockscan.llm.token_counts import count_tokens
 from flockscan.llm.token_files import read_token_files, write_token_files
 from flockscan.llm.urls import judge_urls
 from flockscan.llm.warc import read_archives, write_archives
+from flockscan.llm.whitening import whiten
 from flockscan.storage import new_path
 
 # The rules that op3 is to apply.
@@ -128,6 +129,10 @@ def op10_quality_classifier(spark, sf_dir):
     )
 
 
+def op11_whitening(spark, sf_dir):
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle_manifest(spark, sf_dir):
     documents = _table(spark, sf_dir, "documents")
     # Wider than a long, so that adding to the largest one is no error.
@@ -165,6 +170,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_whitening": op11_whitening,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_token_counts": op13_token_counts,
 }
