@@ -20,10 +20,11 @@ from flockscan.operators.components import (
     sets_to_labels,
 )
 from flockscan.operators.neighbours import first_and_last, nearest_neighbours, neighbour_edges
+from flockscan.operators import similarity
 from flockscan.operators.skew import number_rows
 from flockscan.operators.text_column import guess_text_column, length_medians
 from flockscan.operators.year_slice import PARSED, parse_counts, year_slice
-from flockscan.plans.coordination import close_pairs, coordinated_groups
+from flockscan.plans.coordination import coordinated_groups
 from flockscan.plans.archive import slice_archive
 from flockscan.sources.posts import (
     column_preview,
@@ -404,8 +405,40 @@ def neighbour_distances(spark, sf_dir):
 
 
 def pairs_within(spark, sf_dir):
+    """Close ones among the nearest few."""
+    found = nearest_neighbours(_table(spark, sf_dir, "embeddings"), k=K, exclude_self=True)
+    return neighbour_edges(found, NEAR).select("source", "target")
+
+
+def pairs_within_all(spark, sf_dir):
+    """All close pairs, however many a vector has."""
+    return _rounded(similarity.pairs_within(_table(spark, sf_dir, "embeddings"), NEAR))
+
+
+def pairs_within_blocks(spark, sf_dir):
+    """The same in many small blocks, as for a large table."""
+    return _rounded(similarity.pairs_within(_table(spark, sf_dir, "embeddings"), NEAR, block_rows=128))
+
+
+def _rounded_similarity(found: DataFrame) -> DataFrame:
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+def knn_inner_product(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings")
+    return _rounded_similarity(similarity.most_similar(vectors, k=K, exclude_self=True))
+
+
+def knn_cosine(spark, sf_dir):
     vectors = _table(spark, sf_dir, "embeddings")
-    return close_pairs(vectors, K, NEAR).select("source", "target")
+    return _rounded_similarity(similarity.most_similar(vectors, k=K, measure="cosine", exclude_self=True))
+
+
+def knn_inner_product_blocks(spark, sf_dir):
+    """The way taken by a base too large to broadcast."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    found = similarity.most_similar(vectors, k=K, exclude_self=True, broadcast_bytes=0, block_rows=128)
+    return _rounded_similarity(found)
 
 
 def undirected_edges(spark, sf_dir):
@@ -500,7 +533,7 @@ def label_modularity(spark, sf_dir):
 
 
 def groups_of_close_vectors(spark, sf_dir):
-    return coordinated_groups(_table(spark, sf_dir, "embeddings"), K, NEAR)
+    return coordinated_groups(_table(spark, sf_dir, "embeddings"), NEAR)
 
 
 # Accounts
@@ -601,6 +634,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "knn_head_tail": knn_head_tail,
         "neighbour_distances": neighbour_distances,
         "pairs_within": pairs_within,
+        "pairs_within_all": pairs_within_all,
+        "pairs_within_blocks": pairs_within_blocks,
+        "knn_inner_product": knn_inner_product,
+        "knn_inner_product_blocks": knn_inner_product_blocks,
+        "knn_cosine": knn_cosine,
         "undirected_edges": undirected_edges,
         "undirected_last": undirected_last,
         "components": components,
@@ -669,6 +707,32 @@ def _near_sql(k: int, include_self: bool = False) -> str:
     )"""
 
 
+def _within_sql() -> str:
+    """Pairs between the first of equal vectors, and these with their copies."""
+    return f"""
+    classes AS (SELECT min(vec_id) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings GROUP BY embedding),
+    within AS (
+        SELECT a.id AS source, b.id AS target, list_distance(a.v, b.v) ** 2 AS dist2
+        FROM classes a, classes b WHERE a.id < b.id AND list_distance(a.v, b.v) ** 2 <= {NEAR}
+        UNION ALL
+        SELECT id, vec_id, 0.0::DOUBLE FROM embeddings JOIN classes ON v = CAST(embedding AS DOUBLE[]) WHERE id <> vec_id
+    )"""
+
+
+def _similar_sql(measure: str) -> str:
+    return f"""
+        WITH vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        ranked AS (
+            SELECT query_id, neighbour_id, round(similarity, 6) AS similarity,
+                CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, neighbour_id) AS INTEGER) AS rank
+            FROM (
+                SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id, {measure}(a.v, b.v) AS similarity
+                FROM vectors a, vectors b WHERE a.vec_id <> b.vec_id
+            )
+        )
+        SELECT * FROM ranked WHERE rank <= {K}"""
+
+
 def _components_sql(nodes: str, edges: str) -> str:
     """``labelled(id, component)`` of the named node and edge tables."""
     return f"""
@@ -883,6 +947,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT DISTINCT least(query_id, neighbour_id) AS source,
                 greatest(query_id, neighbour_id) AS target
             FROM near WHERE dist2 <= {NEAR}""",
+        "pairs_within_all": f"WITH {_within_sql()} SELECT source, target, round(dist2, 6) AS dist2 FROM within",
+        "pairs_within_blocks": f"WITH {_within_sql()} SELECT source, target, round(dist2, 6) AS dist2 FROM within",
+        "knn_inner_product": _similar_sql("list_inner_product"),
+        "knn_inner_product_blocks": _similar_sql("list_inner_product"),
+        "knn_cosine": _similar_sql("list_cosine_similarity"),
         "undirected_edges": f"""
             WITH {_near_sql(K)}
             SELECT least(query_id, neighbour_id) AS source, greatest(query_id, neighbour_id) AS target,
@@ -920,14 +989,9 @@ def oracle_sql() -> dict[str, str]:
                 AS modularity
             FROM m""",
         "coordinated_groups": f"""
-            WITH RECURSIVE {_near_sql(K)},
-            close AS (
-                SELECT DISTINCT least(query_id, neighbour_id) AS source,
-                    greatest(query_id, neighbour_id) AS target
-                FROM near WHERE dist2 <= {NEAR}
-            ),
-            nodes AS (SELECT source AS id FROM close UNION SELECT target FROM close),
-            {_components_sql('nodes', 'close')}
+            WITH RECURSIVE {_within_sql()},
+            nodes AS (SELECT source AS id FROM within UNION SELECT target FROM within),
+            {_components_sql('nodes', 'within')}
             SELECT component, size FROM numbered""",
         "account_profile": f"WITH {PROFILE_SQL} SELECT * FROM profile",
         "report_round_trip": f"""

@@ -155,7 +155,7 @@ def test_coordinated_groups(spark):
     df = spark.createDataFrame(
         [(i, [v, 0.0]) for i, v in enumerate(spots)], "vec_id bigint, embedding array<float>"
     )
-    sizes = [tuple(r) for r in coordinated_groups(df, 2, 0.05).collect()]
+    sizes = [tuple(r) for r in coordinated_groups(df, 0.05).collect()]
     assert sizes == [(0, 3), (1, 2)]
-    members = {r[0]: r[1] for r in group_members(df, 2, 0.05).collect()}
+    members = {r[0]: r[1] for r in group_members(df, 0.05).collect()}
     assert members == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1}
