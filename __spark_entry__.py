@@ -12,6 +12,7 @@ from flockscan.functions.text import tokens
 from flockscan.functions.times import to_time
 from flockscan.functions.vectors import squared_l2
 from flockscan.operators import accounts, collocations, graph
+from flockscan.operators.centrality import betweenness_centrality, eigenvector_centrality
 from flockscan.operators.communities import communities
 from flockscan.operators.components import (
     component_sizes,
@@ -30,11 +31,12 @@ from flockscan.sources.posts import (
     column_preview,
     fill_cores,
     nested_to_json,
-    one_shape,
     read_posts,
     write_csv,
     write_table,
+    write_years,
 )
+from flockscan.sources.shapes import as_number, as_text, one_shape, variant_kind
 from flockscan.storage import Saved, new_path, save
 
 # The training-data operators are an optional part: without it all other queries work.
@@ -58,6 +60,8 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 WORD_FREQ, COLOC_FREQ, STOP_WORDS = 20, 15, ("the", "de")
 # Parameters of the neighbour queries: neighbours per vector, greatest squared distance.
 K, NEAR = 4, 1.3
+# Rounds of the eigenvector query, and words that paths of the betweenness query start from.
+EIGEN_ROUNDS, PIVOT_WORDS = 12, 32
 REFERENCE_DATE = "2024-02-15"
 
 
@@ -172,6 +176,53 @@ def mixed_batches(spark, sf_dir):
     return one_shape(documents, turns)
 
 
+def mixed_types(spark, sf_dir):
+    """Two kinds of records whose fields clash in type."""
+    documents = _table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("ref"),
+        F.col("text").alias("body"),
+        F.col("n_chars").alias("measure"),
+        F.struct("lang", "source").alias("about"),
+    )
+    events = _table(spark, sf_dir, "events").select(
+        F.concat(F.lit("e"), "event_id").alias("ref"),
+        F.col("user_id").alias("body"),
+        F.col("value").alias("measure"),
+        F.col("event_type").alias("about"),
+    )
+    mixed = save(one_shape(documents, events), "mixed").frame
+    return mixed.select(
+        variant_kind(F.col("ref")).alias("kind"),
+        as_text(F.col("ref")).alias("ref"),
+        F.length(as_text(F.col("body"))).alias("body_chars"),
+        F.round(as_number(F.col("measure")), 6).alias("measure"),
+        as_text(F.col("about")).alias("about"),
+    )
+
+
+def mixed_times(spark, sf_dir):
+    """Times that are milliseconds in one batch, text in another and times in a third, then a year's slice."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("at"))
+    part = F.col("o_orderkey") % 3
+    batches = one_shape(
+        orders.filter(part == 0).select("o_orderkey", F.unix_millis("at").alias("created_at")),
+        orders.filter(part == 1).select("o_orderkey", F.date_format("at", "yyyy/MM/dd").alias("created_at")),
+        orders.filter(part == 2).select("o_orderkey", F.col("at").alias("created_at")),
+    )
+    kept = year_slice(batches, 1997)
+    return kept.select("o_orderkey", F.col(PARSED).cast("timestamp_ntz").alias("parsed"))
+
+
+def sliced_archive(spark, sf_dir):
+    """Two years are written, one of them again with some rows changed, and both read."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    path = new_path(spark, "archive")
+    write_years(orders.filter(F.year("o_orderdate").isin(1996, 1997)), path, "o_orderdate")
+    again = year_slice(orders.withColumn("o_totalprice", F.lit(0.0)), 1997).drop(PARSED)
+    write_years(again.filter("o_orderkey > 100"), path, "o_orderdate")
+    return read_posts(spark, path)
+
+
 def nested_cells_to_json(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders")
     return nested_to_json(
@@ -348,6 +399,21 @@ def word_communities_modularity(spark, sf_dir):
     return graph.modularity(edges.frame, labels, edge_rows=edges.rows)
 
 
+def word_eigenvector(spark, sf_dir):
+    edges = _word_edges(spark, sf_dir).frame
+    found = eigenvector_centrality(edges, tolerance=None, max_rounds=EIGEN_ROUNDS)
+    return found.withColumn("eigenvector", F.round("eigenvector", 9))
+
+
+def word_betweenness(spark, sf_dir):
+    """Estimated from the paths of the most frequent words of the graph."""
+    edges, nodes = _word_graph(spark, sf_dir)
+    edges, nodes = save(edges, "word-edges").frame, save(nodes, "word-nodes").frame
+    pivots = nodes.orderBy(F.desc("size"), "id").limit(PIVOT_WORDS)
+    found = betweenness_centrality(edges, nodes, pivots)
+    return found.withColumn("betweenness", F.round("betweenness", 9))
+
+
 # Neighbours
 
 
@@ -415,11 +481,6 @@ def pairs_within_all(spark, sf_dir):
     return _rounded(similarity.pairs_within(_table(spark, sf_dir, "embeddings"), NEAR))
 
 
-def pairs_within_blocks(spark, sf_dir):
-    """The same in many small blocks, as for a large table."""
-    return _rounded(similarity.pairs_within(_table(spark, sf_dir, "embeddings"), NEAR, block_rows=128))
-
-
 def _rounded_similarity(found: DataFrame) -> DataFrame:
     return found.withColumn("similarity", F.round("similarity", 6))
 
@@ -434,13 +495,6 @@ def knn_cosine(spark, sf_dir):
     return _rounded_similarity(similarity.most_similar(vectors, k=K, measure="cosine", exclude_self=True))
 
 
-def knn_inner_product_blocks(spark, sf_dir):
-    """The way taken by a base too large to broadcast."""
-    vectors = _table(spark, sf_dir, "embeddings")
-    found = similarity.most_similar(vectors, k=K, exclude_self=True, broadcast_bytes=0, block_rows=128)
-    return _rounded_similarity(found)
-
-
 def undirected_edges(spark, sf_dir):
     """Neighbours both ways as one edge; the heavier weight is kept."""
     vectors = _table(spark, sf_dir, "embeddings")
@@ -475,6 +529,13 @@ def _nearest_graph(spark, sf_dir) -> tuple[Saved, DataFrame]:
     return save(neighbour_edges(found), "nearest"), nodes
 
 
+def nearest_betweenness(spark, sf_dir):
+    """Over all shortest paths."""
+    edges, nodes = _nearest_graph(spark, sf_dir)
+    found = betweenness_centrality(edges.frame, nodes, normalized=False)
+    return found.withColumn("betweenness", F.round("betweenness", 9))
+
+
 def components(spark, sf_dir):
     edges, nodes = _nearest_graph(spark, sf_dir)
     return connected_components(edges.frame, nodes)
@@ -601,6 +662,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "text_column_medians": text_column_medians,
         "text_column_choice": text_column_choice,
         "mixed_batches": mixed_batches,
+        "mixed_types": mixed_types,
+        "mixed_times": mixed_times,
+        "sliced_archive": sliced_archive,
         "nested_to_json": nested_cells_to_json,
         "csv_round_trip": csv_round_trip,
         "table_round_trip": table_round_trip,
@@ -633,11 +697,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "knn_subset": knn_subset,
         "knn_head_tail": knn_head_tail,
         "neighbour_distances": neighbour_distances,
+        "word_eigenvector": word_eigenvector,
+        "word_betweenness": word_betweenness,
+        "nearest_betweenness": nearest_betweenness,
         "pairs_within": pairs_within,
         "pairs_within_all": pairs_within_all,
-        "pairs_within_blocks": pairs_within_blocks,
         "knn_inner_product": knn_inner_product,
-        "knn_inner_product_blocks": knn_inner_product_blocks,
         "knn_cosine": knn_cosine,
         "undirected_edges": undirected_edges,
         "undirected_last": undirected_last,
@@ -748,6 +813,37 @@ def _components_sql(nodes: str, edges: str) -> str:
     labelled AS (SELECT id, component FROM rooted JOIN numbered USING (root))"""
 
 
+# No shortest path of the test graphs has so many edges.
+DEPTH = 64
+# Of an estimate from the pivots: by the share of sources, and the pairs of other nodes.
+_PIVOT_SCALE = """(SELECT count(*) / (SELECT count(*) FROM pivots) / ((count(*) - 1) * (count(*) - 2)) FROM nodes)"""
+
+
+def _betweenness_sql(nodes: str, edges: str, sources: str, scale: str) -> str:
+    """Walks from each source, of which those of least length are its shortest paths; then back."""
+    return f"""
+    hops AS (SELECT source AS id, target AS other FROM {edges} UNION SELECT target, source FROM {edges}),
+    walks(s, id, level, n) AS (
+        SELECT id, id, 0, 1.0::DOUBLE FROM {sources}
+        UNION ALL
+        SELECT s, other, level + 1, sum(n) FROM walks JOIN hops USING (id) WHERE level < {DEPTH}
+        GROUP BY s, other, level
+    ),
+    paths AS (SELECT s, id, min(level) AS level, arg_min(n, level) AS n FROM walks GROUP BY s, id),
+    back(s, id, level, n, part) AS (
+        SELECT s, id, level, n, 0.0::DOUBLE FROM paths WHERE level = (SELECT max(level) FROM paths)
+        UNION ALL
+        SELECT p.s, p.id, p.level, any_value(p.n), coalesce(sum(p.n / c.n * (1 + c.part)), 0)
+        FROM (SELECT max(level) - 1 AS level FROM back) AS turn JOIN paths p ON p.level = turn.level
+            LEFT JOIN (
+                SELECT b.s, w.id, b.n, b.part FROM back b JOIN hops w ON w.other = b.id
+            ) c ON c.s = p.s AND c.id = p.id
+        GROUP BY p.s, p.id, p.level
+    ),
+    through AS (SELECT id, sum(part) AS part FROM back WHERE level > 0 GROUP BY id)
+    SELECT id, round(coalesce(part, 0) * {scale}, 9) AS betweenness FROM {nodes} LEFT JOIN through USING (id)"""
+
+
 PROFILE_SQL = f"""
     life AS (
         SELECT user_id, count(*) AS posts, min(ts) AS created_at,
@@ -825,6 +921,20 @@ def oracle_sql() -> dict[str, str]:
                 SELECT 'documents' AS table_name, column_name FROM (DESCRIBE documents)
                 UNION ALL SELECT 'conversations', column_name FROM (DESCRIBE conversations)
             ) WHERE column_name IN ({text_names})""",
+        "mixed_types": """
+            SELECT 'BIGINT' AS kind, CAST(doc_id AS VARCHAR) AS ref, CAST(length(text) AS INTEGER) AS body_chars,
+                round(CAST(n_chars AS DOUBLE), 6) AS measure,
+                CAST(json_object('lang', lang, 'source', source) AS VARCHAR) AS about
+            FROM documents
+            UNION ALL
+            SELECT 'STRING', 'e' || event_id, CAST(length(CAST(user_id AS VARCHAR)) AS INTEGER), round(value, 6), event_type
+            FROM events""",
+        "mixed_times": """
+            SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS parsed FROM orders WHERE year(o_orderdate) = 1997""",
+        "sliced_archive": """
+            SELECT o_orderkey, o_orderdate, CASE WHEN year(o_orderdate) = 1997 THEN 0.0::DOUBLE ELSE o_totalprice END AS o_totalprice,
+                CAST(year(o_orderdate) AS INTEGER) AS year
+            FROM orders WHERE year(o_orderdate) = 1996 OR (year(o_orderdate) = 1997 AND o_orderkey > 100)""",
         "mixed_batches": """
             SELECT doc_id AS post_id, text, lang, NULL AS role FROM documents
             UNION ALL SELECT conv_id, text, NULL, role FROM conversations""",
@@ -947,10 +1057,34 @@ def oracle_sql() -> dict[str, str]:
             SELECT DISTINCT least(query_id, neighbour_id) AS source,
                 greatest(query_id, neighbour_id) AS target
             FROM near WHERE dist2 <= {NEAR}""",
+        "word_eigenvector": f"""
+            WITH RECURSIVE {_pairs_sql()},
+            ways AS (
+                SELECT source AS id, target AS other, freq::DOUBLE AS weight FROM pairs
+                UNION ALL SELECT target, source, freq::DOUBLE FROM pairs
+            ),
+            most AS (SELECT max(s) AS s FROM (SELECT sum(weight) AS s FROM ways GROUP BY id)),
+            steps AS (
+                SELECT id, other, weight / s AS weight FROM ways, most
+                UNION ALL SELECT word, word, 1.0::DOUBLE FROM ends
+            ),
+            scores(round, id, y) AS (
+                SELECT 0, word, 1.0::DOUBLE FROM ends
+                UNION ALL
+                SELECT round + 1, steps.id, sum(weight * y) FROM scores JOIN steps ON other = scores.id
+                WHERE round < {EIGEN_ROUNDS} GROUP BY round, steps.id
+            )
+            SELECT id, round(y / sqrt(sum(y * y) OVER ()), 9) AS eigenvector
+            FROM scores WHERE round = {EIGEN_ROUNDS}""",
+        "word_betweenness": f"""
+            WITH RECURSIVE {_pairs_sql()},
+            nodes AS (SELECT word AS id FROM ends),
+            pivots AS (SELECT word AS id FROM ends JOIN vocabulary USING (word) ORDER BY size DESC, word LIMIT {PIVOT_WORDS}),
+            {_betweenness_sql("nodes", "pairs", "pivots", _PIVOT_SCALE)}""",
+        "nearest_betweenness": f"""
+            WITH RECURSIVE {nearest}, {_betweenness_sql("nodes", "links", "nodes", "0.5::DOUBLE")}""",
         "pairs_within_all": f"WITH {_within_sql()} SELECT source, target, round(dist2, 6) AS dist2 FROM within",
-        "pairs_within_blocks": f"WITH {_within_sql()} SELECT source, target, round(dist2, 6) AS dist2 FROM within",
         "knn_inner_product": _similar_sql("list_inner_product"),
-        "knn_inner_product_blocks": _similar_sql("list_inner_product"),
         "knn_cosine": _similar_sql("list_cosine_similarity"),
         "undirected_edges": f"""
             WITH {_near_sql(K)}

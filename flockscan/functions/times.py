@@ -40,7 +40,7 @@ def is_number(kind: T.DataType) -> bool:
 
 
 def is_parseable(kind: T.DataType) -> bool:
-    return is_time(kind) or is_number(kind) or isinstance(kind, T.StringType)
+    return is_time(kind) or is_number(kind) or isinstance(kind, (T.StringType, T.VariantType))
 
 
 def epoch_ms_to_time(value: Column, kind: T.DataType) -> Column:
@@ -73,7 +73,18 @@ def text_to_time(value: Column, day_first: bool = False) -> Column:
     return parsed
 
 
+def variant_to_time(value: Column, day_first: bool = False) -> Column:
+    """Each value by its own type; a missing one is no time."""
+    own = F.schema_of_variant(value)
+    got = lambda kind: F.try_variant_get(value, "$", kind)
+    parsed = F.when(own == "STRING", text_to_time(got("string"), day_first))
+    parsed = parsed.when(own.isin("TIMESTAMP", "TIMESTAMP_NTZ", "DATE"), got("timestamp"))
+    return parsed.when(own.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), epoch_ms_to_time(got("double"), T.DoubleType()))
+
+
 def to_time(value: Column, kind: T.DataType, day_first: bool = False) -> Column:
+    if isinstance(kind, T.VariantType):
+        return variant_to_time(value, day_first)
     if isinstance(kind, T.DateType):
         return value.cast("timestamp")
     if is_time(kind):

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NESTED = (T.StructType, T.ArrayType, T.MapType)
+NESTED = (T.StructType, T.ArrayType, T.MapType, T.VariantType)
 
 
+# Tasks that write one year, each one file.
+YEAR_PARTS = 64
 # Archives beyond this size have splits enough; they are never shuffled to fill cores.
 FILL_BYTES = 128 << 20
 # How text survives a CSV file: line breaks, quotes, outer blanks, and empty apart from missing.
@@ -59,17 +59,12 @@ def read_posts(
     raise ValueError(f"cannot read posts from {kind!r}")
 
 
-def one_shape(*batches: DataFrame) -> DataFrame:
-    """All batches in one table; a column that a batch lacks is NULL for its rows."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), batches)
-
-
 def column_preview(df: DataFrame, limit: int = 50) -> list[str]:
     return df.columns[:limit]
 
 
 def nested_to_json(df: DataFrame) -> DataFrame:
-    """Struct, array and map columns as JSON text, for sinks that take flat rows only."""
+    """Struct, array, map and VARIANT columns as JSON text, for sinks that take flat rows only."""
     return df.select(
         *(
             F.to_json(F.col(f"`{f.name}`"), {"ignoreNullFields": "false"}).alias(f.name)
@@ -95,3 +90,20 @@ def write_table(df: DataFrame, name: str = "tweets", path: str | None = None) ->
     if path is not None:
         writer = writer.option("path", path)
     writer.saveAsTable(name)
+
+
+def write_years(df: DataFrame, path: str, time: str) -> None:
+    """Replace the years of ``df`` in an archive in folders by year; other years stay as they are.
+
+    The year is that of the column ``time``; rows without one go to a folder of their own.
+    New files are written aside and moved when all are whole, so that a failed write
+    loses nothing. ``read_posts`` reads the archive, and a filter on ``year`` skips folders.
+    """
+    dated = df.withColumn("year", F.year(time))
+    writer = dated.repartition("year", F.pmod(F.xxhash64(*_plain(df)), F.lit(YEAR_PARTS))).write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+
+
+def _plain(df: DataFrame) -> list[str]:
+    """Columns that can be hashed."""
+    return [f"`{f.name}`" for f in df.schema.fields if not isinstance(f.dataType, (T.VariantType, T.MapType))]

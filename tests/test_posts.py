@@ -12,7 +12,7 @@ from flockscan.operators.text_column import guess_slice_text_column, guess_text_
 from flockscan.functions.times import text_to_time
 from flockscan.operators.year_slice import PARSED, TimeColumn, guess_time_column, with_time, year_slice
 from flockscan.plans.archive import slice_archive
-from flockscan.sources import posts
+from flockscan.sources import posts, shapes
 
 TIMES = {
     "datetime": ("post_created_at timestamp", dt.datetime(2025, 1, 1), "2025-01-01 00:00:00"),
@@ -227,7 +227,7 @@ def test_reading_mixed_records(spark, tmp_path):
 def test_one_shape_and_preview(spark):
     a = spark.createDataFrame([(1, "x")], "id bigint, text string")
     b = spark.createDataFrame([(2, True)], "id bigint, seen boolean")
-    assert sorted(map(tuple, posts.one_shape(a, b).collect())) == [(1, "x", None), (2, None, True)]
+    assert sorted(map(tuple, shapes.one_shape(a, b).collect())) == [(1, "x", None), (2, None, True)]
     wide = spark.range(1).select(*(F.lit(i).alias(f"c{i}") for i in range(60)))
     assert posts.column_preview(wide) == [f"c{i}" for i in range(50)]
 
