@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flockscan.llm.words import (
@@ -254,6 +254,7 @@ def _scores(batches: Iterator[pa.RecordBatch], models: dict[str, tuple]) -> Iter
     ready = {lang: Model(*parts) for lang, parts in models.items()}
     table = np.zeros(CODES)
     for batch in blocks(batches, limit=BLOCK_BYTES):
+        carried = [c for c in batch.schema.names if c != "text"]
         data, at = text_buffer(batch.column("text"))
         words = split_words(data, at, BLANK_PARTED)
         raw = data.tobytes()
@@ -282,11 +283,11 @@ def _scores(batches: Iterator[pa.RecordBatch], models: dict[str, tuple]) -> Iter
         }
         yield pa.record_batch(
             [
-                *(batch.column(c) for c in ("doc_id", "text_key", "lang")),
+                *(batch.column(c) for c in carried),
                 *(pa.array(x, pa.int64()) for x in counts.values()),
                 pa.array(log_perplexity, pa.float64(), from_pandas=True),
             ],
-            ["doc_id", "text_key", "lang", *counts, "log_perplexity"],
+            [*carried, *counts, "log_perplexity"],
         )
 
 
@@ -328,6 +329,38 @@ def _bands(scored: DataFrame, below: float, above: float) -> DataFrame:
     )
 
 
+def _lang() -> Column:
+    return F.coalesce("lang", F.lit("")).alias("lang")
+
+
+def _by_language(plain: DataFrame, models: DataFrame, languages: int, make, schema: str) -> DataFrame:
+    """``make(names, models)`` gives what is mapped over the rows of a few languages at a time."""
+    spark = plain.sparkSession
+    named = sorted(r["lang"] for r in models.select("lang").collect())
+    parts = []
+    for low in range(0, max(len(named), 1), languages):
+        some = named[low : low + languages]
+        rows = models.filter(F.col("lang").isin(some)).collect()
+        shared = spark.sparkContext.broadcast({r[0]: tuple(map(bytes, r[1:])) for r in rows})
+        own = plain if len(named) <= languages else plain.filter(F.col("lang").isin(some))
+        parts.append(own.mapInArrow(make(some, shared), schema))
+    return functools.reduce(DataFrame.union, parts)
+
+
+def _fitted(documents: DataFrame, below: float, above: float, languages: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(scored, bands, models)`` of all documents."""
+    models = save(ngram_models(documents), "models").frame
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    schema = (
+        f"doc_id {kind}, text_key long, lang string, n_words long, word_chars long, n_symbols long,"
+        " n_dup_lines long, n_repeat_words long, log_perplexity double"
+    )
+    plain = documents.select("doc_id", F.xxhash64("text").alias("text_key"), _lang(), "text")
+    score = lambda _, shared: lambda batches: _scores(batches, shared.value)
+    scored = save(_by_language(plain, models, languages, score, schema), "scores").frame
+    return scored, _bands(scored, below, above), models
+
+
 def judge_quality(
     documents: DataFrame, below: float = BELOW, above: float = ABOVE, languages: int = 16
 ) -> DataFrame:
@@ -344,26 +377,7 @@ def judge_quality(
     get a row. Other columns are ignored; an empty table gives an empty one. The models of
     at most ``languages`` languages are sent to the tasks at a time.
     """
-    spark = documents.sparkSession
-    models = save(ngram_models(documents), "models").frame
-    named = sorted(r["lang"] for r in models.select("lang").collect())
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = (
-        f"doc_id {kind}, text_key long, lang string, n_words long, word_chars long, n_symbols long,"
-        " n_dup_lines long, n_repeat_words long, log_perplexity double"
-    )
-    plain = documents.select(
-        "doc_id", F.xxhash64("text").alias("text_key"), F.coalesce("lang", F.lit("")).alias("lang"), "text"
-    )
-    parts = []
-    for low in range(0, max(len(named), 1), languages):
-        some = named[low : low + languages]
-        rows = models.filter(F.col("lang").isin(some)).collect()
-        shared = spark.sparkContext.broadcast({r[0]: tuple(map(bytes, r[1:])) for r in rows})
-        own = plain if len(named) <= languages else plain.filter(F.col("lang").isin(some))
-        parts.append(own.mapInArrow(lambda batches, m=shared: _scores(batches, m.value), schema))
-    scored = save(functools.reduce(DataFrame.union, parts), "scores").frame
-    bands = _bands(scored, below, above)
+    scored, bands, _ = _fitted(documents, below, above, languages)
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return (
@@ -375,9 +389,28 @@ def judge_quality(
     )
 
 
-def keep_good(documents: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
-    """The rows of ``documents`` that ``judge_quality`` keeps; columns as they were."""
-    judged = judge_quality(documents, below, above)
-    bad = save(judged.filter(~F.col("kept")).select("doc_id", "text_key").distinct(), "rejected").frame
-    own = documents["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(documents["text"]) == bad["text_key"])
-    return documents.join(bad, own, "left_anti")
+def _good(batches: Iterator[pa.RecordBatch], models: dict, bands: dict) -> Iterator[pa.RecordBatch]:
+    """The rows that pass the base rules and lie within their language's band."""
+    for batch in _scores(batches, models):
+        n, repeated, score = (np.asarray(batch.column(c)) for c in ("n_words", "n_repeat_words", "log_perplexity"))
+        low, high = np.array([bands.get(x, (-np.inf, np.inf)) for x in batch.column("lang").to_pylist()]).reshape(-1, 2).T
+        kept = (n >= 50) & (100 * repeated <= 50 * n) & ~((score < low) | (score > high))
+        yield pa.record_batch([batch.column("row").filter(pa.array(kept))], ["row"])
+
+
+def keep_good(documents: DataFrame, below: float = BELOW, above: float = ABOVE, languages: int = 16) -> DataFrame:
+    """The rows of ``documents`` that ``judge_quality`` keeps; columns as they were.
+
+    Rows are scored again where they are, as a join with their verdicts would shuffle all texts.
+    """
+    _, bands, models = _fitted(documents, below, above, languages)
+    bands = save(bands, "bands").frame
+    whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
+    plain = documents.select(whole.alias("row"), _lang(), "text")
+
+    def good(names: list[str], shared):
+        own = {r["lang"]: (r["low"], r["high"]) for r in bands.filter(F.col("lang").isin(names)).collect()}
+        return lambda batches: _good(batches, shared.value, own)
+
+    schema = f"row {documents.schema.simpleString()}"
+    return _by_language(plain, models, languages, good, schema).select("row.*")
