@@ -1,21 +1,24 @@
 """Quality rules with an n-gram language model per language.
 
-The model is an interpolated modified Kneser-Ney model over n-grams of text symbols: the
-letters a-z, a digit, a blank, a mark and three classes of other letters, 32 symbols in
-all. Spark counts the n-grams of all documents; a language's model is a sorted array of
-n-gram hashes with the n-grams' log probabilities and backoff weights beside it. As there
-are at most 32^4 n-grams, a model is of at most 17 MB, however large the corpus.
-A document is rejected if its perplexity lies outside its language's band.
+The model is an interpolated modified Kneser-Ney model over n-grams of characters. Letters
+are themselves, A-Z as a-z; a digit, a mark and a run of blanks are one symbol each. Spark
+counts the n-grams of all documents, so the model has as many rows as the corpus has
+different n-grams and grows with it; it is stored as hashes with log probabilities, sorted
+and in ranges. The most frequent n-grams, at most HEAD of them, are sent to the tasks and
+scored there, others are joined with the model by hash. As documents are scored by the model
+of the same documents, every n-gram is found. A document is rejected if its perplexity lies
+outside its language's band.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flockscan.llm.words import (
@@ -28,13 +31,17 @@ from flockscan.llm.words import (
     text_buffer,
     word_hashes,
 )
-from flockscan.storage import save
+from flockscan.storage import Saved, save
 
-ORDER, SYMBOL_BITS = 4, 5
-SYMBOLS = 1 << SYMBOL_BITS
-CODES = 1 << (SYMBOL_BITS * ORDER)
-# Text bytes handled at once; a character takes some sixty bytes of work space.
+ORDER = 4
+# N-grams of all languages that are sent to the tasks, of 16 bytes each.
+HEAD = 1 << 20
+# Text bytes handled at once; a character takes some hundred bytes of work space.
 BLOCK_BYTES = 1 << 20
+# Different n-grams of some forty bytes that a task adds up before it hands them on.
+PENDING = 1 << 20
+# Rejected texts that are sent to the tasks, of some thirty bytes each; more are joined.
+SENT_TEXTS = 1 << 20
 # The characters counted as symbols of markup.
 MARKS = b"#*$%&|<>"
 # Bands reach so many times the median deviation below and above a language's median of
@@ -43,176 +50,236 @@ BELOW, ABOVE = 8.0, 8.0
 # Log perplexities are compared in steps of 1 / STEPS.
 STEPS = 1_000
 
-# Symbols of each byte; -1 for bytes that continue a character.
-_SYMBOL = np.full(256, 28, np.int8)
-_SYMBOL[0x41:0x5B] = np.arange(26)
-_SYMBOL[0x61:0x7B] = np.arange(26)
-_SYMBOL[0x30:0x3A] = 26
-_SYMBOL[[0x20, *range(0x09, 0x0E)]] = 27
-_SYMBOL[0x80:0xC0] = -1
-_SYMBOL[0xC0:] = 29
+BLANK, MARK, DIGIT = ord(" "), ord("#"), ord("0")
+# Symbols of the ASCII characters.
+_SYMBOL = np.full(128, MARK, np.uint32)
+_SYMBOL[0x41:0x5B] = np.arange(0x61, 0x7B)
+_SYMBOL[0x61:0x7B] = np.arange(0x61, 0x7B)
+_SYMBOL[0x30:0x3A] = DIGIT
+_SYMBOL[[0x20, *range(0x09, 0x0E)]] = BLANK
+
+
+def _symbols(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(symbols, first)`` of texts; text i owns symbols first[i]:first[i + 1]."""
+    place = np.flatnonzero((data & 0xC0) != 0x80)
+    lead = data[place]
+    symbol = _SYMBOL[lead & 0x7F]
+    wide = np.flatnonzero(lead >= 0x80)
+    if len(wide):
+        padded = np.concatenate([data, np.zeros(3, np.uint8)])
+        head, begin = lead[wide].astype(np.uint32), place[wide]
+        after = [padded[begin + i].astype(np.uint32) & 0x3F for i in (1, 2, 3)]
+        point = np.select(
+            [head < 0xE0, head < 0xF0],
+            [(head & 0x1F) << 6 | after[0], (head & 0x0F) << 12 | after[0] << 6 | after[1]],
+            (head & 0x07) << 18 | after[0] << 12 | after[1] << 6 | after[2],
+        )
+        point[(point > 0x10FFFF) | ((point >= 0xD800) & (point < 0xE000)) | (point == 0)] = 0xFFFD
+        symbol[wide] = point
+    blank = symbol == BLANK
+    keep = np.ones(len(symbol), bool)
+    keep[1:] = ~(blank[1:] & blank[:-1])
+    # The first character of a text stays.
+    keep[np.searchsorted(place, at[:-1][at[:-1] < at[1:]])] = True
+    return symbol[keep], np.searchsorted(place[keep], at)
 
 
-def _codes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(codes, first)``: the n-gram ending at each character, packed, text by text.
+def _packed(symbols: np.ndarray, since: np.ndarray, low: int, high: int) -> Iterator[tuple]:
+    """``(low, high, codes, alphabet, bits)``: the n-grams that end at places low to high.
 
-    A text begins with a blank run of n-gram history. Repeated blanks are one.
+    A code holds an n-gram's symbols as places in the alphabet, the last in the lowest bits.
+    Places of too many different symbols for 64 bits are halved. A text begins after blanks.
     """
-    symbol = _SYMBOL[data]
-    # Other letters fall into three classes by the last byte of the character.
-    wide = np.flatnonzero(symbol[:-1] == 29) if len(data) else np.empty(0, int)
-    symbol[wide] = 29 + data[wide + 1] % 3
-    keep = symbol >= 0
-    begin = np.zeros(len(data), bool)
-    begin[at[:-1][at[:-1] < at[1:]]] = True
-    if len(data):
-        keep[1:] &= ~((symbol[1:] == 27) & (symbol[:-1] == 27) & ~begin[1:])
-    place = np.flatnonzero(keep)
-    symbol = symbol[place].astype(np.int32)
-    first = np.searchsorted(place, at)
-    code = symbol.copy()
-    since = np.arange(len(symbol)) - np.repeat(first[:-1], np.diff(first))
+    start = max(0, low - ORDER + 1)
+    seen = np.zeros(0x110000, bool)
+    seen[symbols[start:high]] = True
+    seen[BLANK] = True
+    alphabet = np.flatnonzero(seen)
+    bits = max(1, int(len(alphabet) - 1).bit_length())
+    if bits * ORDER > 64:
+        middle = (low + high) // 2
+        yield from _packed(symbols, since, low, middle)
+        yield from _packed(symbols, since, middle, high)
+        return
+    kind = np.uint32 if bits * ORDER <= 32 else np.uint64
+    number = np.zeros(alphabet[-1] + 1, kind)
+    number[alphabet] = np.arange(len(alphabet))
+    blank = number[BLANK]
+    before = np.full(ORDER - 1 - (low - start), blank, kind)
+    dense = np.concatenate([before, number[symbols[start:high]]])
+    codes = dense[ORDER - 1 :].copy()
     for back in range(1, ORDER):
-        before = np.full(len(symbol), 27, np.int32)
-        before[back:] = symbol[:-back]
-        before[since < back] = 27
-        code |= before << (SYMBOL_BITS * back)
-    return code, first
+        own = dense[ORDER - 1 - back : len(dense) - back]
+        codes |= np.where(since[low:high] < back, blank, own) << kind(bits * back)
+    yield low, high, codes, alphabet, bits
+
+
+def _spelled(codes: np.ndarray, alphabet: np.ndarray, bits: int) -> np.ndarray:
+    """The symbols of packed n-grams, a row each."""
+    mask = codes.dtype.type((1 << bits) - 1)
+    shift = [codes.dtype.type(bits * back) for back in range(ORDER - 1, -1, -1)]
+    return np.stack([alphabet[(codes >> by) & mask] for by in shift], 1).astype(np.uint32)
+
+
+def _keys(grams: np.ndarray, lang: str) -> np.ndarray:
+    """64-bit hashes of a language's n-grams, alike in every task."""
+    h = np.full(len(grams), xxhash.xxh64_intdigest(lang), np.uint64)
+    for column in grams.T:
+        h = mixed(h ^ (column.astype(np.uint64) + np.uint64(1)) * ODD)
+    return h
+
+
+def _ngrams(batch: pa.RecordBatch, symbols: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
+    """``(lang, places, codes, alphabet, bits)`` of a block's symbols, language by language."""
+    since = np.arange(len(symbols)) - np.repeat(first[:-1], np.diff(first))
+    names, lang_of = np.unique(batch.column("lang").to_pylist(), return_inverse=True)
+    own = np.repeat(lang_of.astype(np.int32), np.diff(first))
+    for low, high, codes, alphabet, bits in _packed(symbols, since, 0, len(symbols)):
+        for i in np.unique(own[low:high]).tolist():
+            places = np.flatnonzero(own[low:high] == i)
+            yield str(names[i]), places + low, codes[places], alphabet, bits
 
 
 # Counting
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(lang, ngram, n)`` of all texts of a task, added up before they leave it."""
-    total: dict[str, np.ndarray] = {}
+    """``(lang, gram, n)`` of all texts of a task, added up before they leave it."""
+    kept, rows = [], 0
     for batch in blocks(batches, limit=BLOCK_BYTES):
-        codes, first = _codes(*text_buffer(batch.column("text")))
-        names, lang_of = np.unique(batch.column("lang").to_pylist(), return_inverse=True)
-        own = np.repeat(lang_of.astype(np.int16), np.diff(first))
-        for i, lang in enumerate(names.tolist()):
-            part = codes if len(names) == 1 else codes[own == i]
-            n = np.bincount(part, minlength=CODES)
-            if lang not in total and len(total) >= LANGUAGES:
-                yield _counted(lang, n)
-            else:
-                total[lang] = total[lang] + n if lang in total else n
-    for lang, n in total.items():
-        yield _counted(lang, n)
-
-
-# Languages a task adds up at once; others are handed on block by block.
-LANGUAGES = 8
-
-
-def _counted(lang: str, n: np.ndarray) -> pa.RecordBatch:
-    seen = np.flatnonzero(n)
+        for lang, _, codes, alphabet, bits in _ngrams(batch, *_symbols(*text_buffer(batch.column("text")))):
+            codes.sort()
+            begin = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            grams = _spelled(codes[begin], alphabet, bits)
+            n = np.diff(np.append(begin, len(codes)))
+            kept.append((np.full(len(n), lang, object), _keys(grams, lang), grams, n))
+            rows += len(n)
+        if rows > 2 * PENDING:
+            kept = [_added(kept)]
+            rows = len(kept[0][1])
+            if rows > PENDING:
+                yield _counted(*kept[0])
+                kept, rows = [], 0
+    if kept:
+        yield _counted(*_added(kept))
+
+
+def _added(kept: list[tuple]) -> tuple:
+    """Counts of equal n-grams added up."""
+    lang, keys, grams, n = (np.concatenate(x) for x in zip(*kept, strict=True))
+    order = np.argsort(keys)
+    keys = keys[order]
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    own = order[begin]
+    return lang[own], keys[begin], grams[own], np.add.reduceat(n[order], begin)
+
+
+def _counted(lang: np.ndarray, _: np.ndarray, grams: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    spelled = np.ascontiguousarray(grams).view(f"<U{ORDER}").reshape(-1)
     return pa.record_batch(
-        [pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(n[seen], pa.int64())],
-        ["lang", "ngram", "n"],
+        [pa.array(lang, pa.string()), pa.array(spelled, pa.string()), pa.array(n, pa.int64())],
+        ["lang", "gram", "n"],
     )
 
 
 # The model
 
 
-def _discounts(n: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more, from counts of counts."""
-    n1, n2, n3, n4 = (float((n == k).sum()) for k in (1, 2, 3, 4))
-    if not n1 or not n2:
-        return np.array([0.0, 0.5, 0.5, 0.5])
+def _discounts() -> list[Column]:
+    """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more, from counts of counts."""
+    n1, n2, n3, n4 = (F.count_if(F.col("n") == k).cast("double") for k in (1, 2, 3, 4))
     y = n1 / (n1 + 2 * n2)
-    d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-    return np.array([0.0, *(min(max(x, 0.05), k) for x, k in zip(d, (0.95, 1.9, 2.9), strict=True))])
-
-
-def _key(order: int, codes: np.ndarray) -> np.ndarray:
-    """Hashes of n-grams of one order, spread over 64 bits, one to one."""
-    return (codes + order * CODES).astype(np.uint64) * ODD
+    known = (n1 > 0) & (n2 > 0)
+    within = lambda d, high: F.when(known, F.least(F.greatest(d, F.lit(0.05)), F.lit(high))).otherwise(0.5)
+    return [
+        within(1 - 2 * y * F.try_divide(n2, n1), 0.95).alias("d1"),
+        within(2 - 3 * y * F.try_divide(n3, n2), 1.9).alias("d2"),
+        within(F.coalesce(3 - 4 * y * F.try_divide(n4, n3), F.lit(1.5)), 2.9).alias("d3"),
+    ]
 
 
-def kneser_ney(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(hashes, logp, backoff)`` from the distinct n-gram codes of a language and their counts.
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """``(lang, gram, n, logp)`` from the counts ``(lang, gram, n)`` of n-grams of ORDER symbols.
 
-    ``logp`` is the log probability of an n-gram's last symbol after the others, ``backoff``
-    the log of what an n-gram as a context leaves for shorter contexts. Hashes are sorted.
+    ``logp`` is the log probability of an n-gram's last symbol after the others. Shorter
+    n-grams count the different symbols they follow; below single symbols all are equally
+    likely, an unseen one among them. Windows are over the symbols that follow a context.
     """
-    counts = {ORDER: (codes, n)}
+    tables = {ORDER: counts}
     for order in range(ORDER - 1, 0, -1):
-        # Shorter n-grams count the different symbols they follow.
-        longer = counts[order + 1][0]
-        followed = np.bincount(longer & ((1 << (SYMBOL_BITS * order)) - 1))
-        counts[order] = np.flatnonzero(followed), followed[followed > 0]
-    below, stored, share = np.full(1, 1 / SYMBOLS), [], np.ones(1)
+        tail = F.substring("gram", 2, order).alias("gram")
+        shorter = tables[order + 1].groupBy("lang", tail).agg(F.count(F.lit(1)).alias("n"))
+        tables[order] = save(shorter, "shorter").frame
+    below = None
     for order in range(1, ORDER + 1):
-        own, n = counts[order]
-        size, context = 1 << (SYMBOL_BITS * order), own >> SYMBOL_BITS
-        discount = _discounts(n)[np.minimum(n, 3)]
-        total = np.bincount(context, n, size >> SYMBOL_BITS)
-        left = np.bincount(context, discount, size >> SYMBOL_BITS)
-        share = np.ones(len(total))
-        share[total > 0] = left[total > 0] / total[total > 0]
-        if order > 1:
-            # Contexts of this order, with the weight of the shorter order behind them.
-            listed = np.union1d(counts[order - 1][0], np.flatnonzero(total))
-            # Every single symbol is listed, so that backing off ends there.
-            listed = np.arange(SYMBOLS) if order == 2 else listed
-            stored.append((order - 1, listed, below[listed], share[listed]))
-        shorter = below if order > 1 else np.full(SYMBOLS, 1 / SYMBOLS)
-        p = np.repeat(share, SYMBOLS) * np.resize(shorter, size)
-        p[own] += (n - discount) / total[context]
-        below = p
-    stored.append((ORDER, codes, below[codes], np.ones(len(codes))))
-    hashes = np.concatenate([_key(order, own) for order, own, _, _ in stored])
-    by = np.argsort(hashes)
-    logp = np.log(np.concatenate([p for _, _, p, _ in stored]))
-    backoff = np.log(np.concatenate([w for _, _, _, w in stored]))
-    return hashes[by], logp[by], backoff[by]
-
-
-MODEL = "lang string, hashes binary, logp binary, backoff binary"
-
-
-def _model(key: tuple, table: pa.Table) -> pa.Table:
-    """A language's model, from at most 32^4 rows."""
-    order = np.argsort(np.asarray(table["ngram"]))
-    codes = np.asarray(table["ngram"], np.int64)[order]
-    hashes, logp, backoff = kneser_ney(codes, np.asarray(table["n"], np.int64)[order])
-    return pa.table(
-        {
-            "lang": [key[0].as_py()],
-            "hashes": pa.array([hashes.astype("<u8").tobytes()], pa.binary()),
-            "logp": pa.array([logp.astype("<f8").tobytes()], pa.binary()),
-            "backoff": pa.array([backoff.astype("<f8").tobytes()], pa.binary()),
-        }
-    )
+        known = tables[order].groupBy("lang").agg(
+            *_discounts(), (1 / (F.count(F.lit(1)) + 1)).alias("even")
+        )
+        taken = F.when(F.col("n") >= 3, F.col("d3")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d1"))
+        after = Window.partitionBy("lang", F.substring("gram", 1, order - 1))
+        rows = tables[order].join(known, "lang").withColumn("taken", taken)
+        rows = rows.withColumn("total", F.sum("n").over(after)).withColumn("left", F.sum("taken").over(after))
+        if below is None:
+            rows = rows.withColumn("shorter", F.col("even"))
+        else:
+            behind = below.select("lang", F.col("gram").alias("tail"), F.col("p").alias("shorter"))
+            rows = rows.withColumn("tail", F.substring("gram", 2, order - 1)).join(behind, ["lang", "tail"])
+        p = (F.col("n") - F.col("taken") + F.col("left") * F.col("shorter")) / F.col("total")
+        below = rows.select("lang", "gram", "n", p.alias("p"))
+        if order < ORDER:
+            below = save(below, "probabilities").frame
+    return below.select("lang", "gram", "n", F.log("p").alias("logp"))
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(key, n, logp)`` of the rows of a model."""
+    for batch in batches:
+        spelled = np.array(batch.column("gram").to_pylist(), f"<U{ORDER}")
+        grams = spelled.view(np.uint32).reshape(-1, ORDER)
+        lang = np.array(batch.column("lang").to_pylist(), object)
+        keys = np.empty(len(lang), np.uint64)
+        for name in set(lang.tolist()):
+            mine = lang == name
+            keys[mine] = _keys(grams[mine], name)
+        yield pa.record_batch(
+            [pa.array(keys.view(np.int64)), batch.column("n"), batch.column("logp")], ["key", "n", "logp"]
+        )
+
 
+def ngram_model(documents: DataFrame) -> Saved:
+    """``(key, n, logp)`` of all n-grams of all languages, sorted by key and in ranges of it."""
+    counted = documents.select(_lang(), "text").mapInArrow(_counts, "lang string, gram string, n long")
+    counts = save(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ngrams").frame
+    hashed = kneser_ney(counts).mapInArrow(_hashed, "key long, n long, logp double")
+    return save(hashed.repartitionByRange("key").sortWithinPartitions("key"), "model")
 
-class Model:
-    """Looks n-grams up in the sorted hashes of one language."""
 
-    def __init__(self, hashes: bytes, logp: bytes, backoff: bytes):
-        self.hashes = np.frombuffer(hashes, "<u8")
-        self.logp, self.backoff = np.frombuffer(logp, "<f8"), np.frombuffer(backoff, "<f8")
+def _head(model: DataFrame, head: int) -> tuple[DataFrame, DataFrame]:
+    """The most frequent n-grams of a model, at most ``head``, and the others."""
+    size = F.floor(F.log2("n") * 16)
+    sizes = model.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    least, room = None, head
+    for row in sorted(sizes, key=lambda r: -r["size"]):
+        room -= row["rows"]
+        if room < 0:
+            break
+        least = row["size"]
+    common = F.lit(False) if least is None else size >= least
+    return model.filter(common), model.filter(~common)
 
-    def _find(self, order: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = _key(order, codes)
-        slot = np.minimum(np.searchsorted(self.hashes, key), len(self.hashes) - 1)
-        return slot, self.hashes[slot] == key
 
-    def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
-        """Of the last symbol of each n-gram of full order."""
-        out = np.zeros(len(codes))
-        todo = np.arange(len(codes))
-        for order in range(ORDER, 0, -1):
-            part = codes[todo] & ((1 << (SYMBOL_BITS * order)) - 1)
-            slot, seen = self._find(order, part)
-            out[todo[seen]] += self.logp[slot[seen]]
-            todo, part = todo[~seen], part[~seen]
-            if order > 1 and len(todo):
-                slot, seen = self._find(order - 1, part >> SYMBOL_BITS)
-                out[todo[seen]] += self.backoff[slot[seen]]
-        return out
+class Frequent:
+    """Looks n-grams up in the sorted hashes of the most frequent."""
+
+    def __init__(self, keys: bytes, logp: bytes):
+        self.keys, self.logp = np.frombuffer(keys, "<u8"), np.frombuffer(logp, "<f8")
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The log probabilities; NaN for others."""
+        if not len(self.keys):
+            return np.full(len(keys), np.nan)
+        slot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[slot] == keys, self.logp[slot], np.nan)
 
 
 # Scoring
@@ -250,44 +317,47 @@ def _within(mask: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.diff(np.searchsorted(np.flatnonzero(mask), at))
 
 
-def _scores(batches: Iterator[pa.RecordBatch], models: dict[str, tuple]) -> Iterator[pa.RecordBatch]:
-    ready = {lang: Model(*parts) for lang, parts in models.items()}
-    table = np.zeros(CODES)
+def _scores(batches: Iterator[pa.RecordBatch], keys: bytes, logp: bytes) -> Iterator[pa.RecordBatch]:
+    """Counts of each text, the sum of its frequent n-grams' ``logp``, and its other n-grams."""
+    frequent, row = Frequent(keys, logp), TaskContext.get().partitionId() << 33
     for batch in blocks(batches, limit=BLOCK_BYTES):
         carried = [c for c in batch.schema.names if c != "text"]
         data, at = text_buffer(batch.column("text"))
         words = split_words(data, at, BLANK_PARTED)
         raw = data.tobytes()
-        codes, first = _codes(data, at)
-        names, lang_of = np.unique(batch.column("lang").to_pylist(), return_inverse=True)
-        logp = np.zeros(batch.num_rows)
-        own = np.repeat(lang_of.astype(np.int16), np.diff(first))
-        for i, lang in enumerate(names.tolist()):
-            part = codes if len(names) == 1 else codes[own == i]
-            distinct = np.flatnonzero(np.bincount(part, minlength=CODES))
-            table[distinct] = ready[lang].log_probabilities(distinct)
-            mine = np.flatnonzero(lang_of == i)
-            n = np.diff(first)[mine]
-            total = np.concatenate([[0.0], np.cumsum(table[part])])
-            ends = np.cumsum(n)
-            logp[mine] = total[ends] - total[ends - n]
-        n = np.diff(first)
-        log_perplexity = np.where(n > 0, -logp / np.maximum(n, 1), np.nan)
+        symbols, first = _symbols(data, at)
+        score, rare, rare_keys = np.zeros(len(symbols)), [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        for lang, places, codes, alphabet, bits in _ngrams(batch, symbols, first):
+            distinct, which = np.unique(codes, return_inverse=True)
+            own = _keys(_spelled(distinct, alphabet, bits), lang)
+            value = frequent.find(own)
+            score[places] = np.nan_to_num(value)[which]
+            missed = np.flatnonzero(np.isnan(value)[which])
+            rare.append(places[missed])
+            rare_keys.append(own[which[missed]])
+        place, key = np.concatenate(rare), np.concatenate(rare_keys)
+        by = np.argsort(place)
+        total = np.concatenate([[0.0], np.cumsum(score)])
+        lists = np.searchsorted(place[by], first)
         lines = [_repeat_lines(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         counts = {
+            "row": np.arange(row, row + batch.num_rows),
             "n_words": words.counts,
             "word_chars": _within(BLANK_PARTED[data] & ((data & 0xC0) != 0x80), at),
             "n_symbols": _within(_IS_MARK[data], at),
             "n_dup_lines": np.array(lines),
             "n_repeat_words": _repeat_words(words, word_hashes(words)),
+            "length": np.diff(first),
         }
+        row += batch.num_rows
         yield pa.record_batch(
             [
                 *(batch.column(c) for c in carried),
                 *(pa.array(x, pa.int64()) for x in counts.values()),
-                pa.array(log_perplexity, pa.float64(), from_pandas=True),
+                pa.array(total[first[1:]] - total[first[:-1]], pa.float64()),
+                pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(key[by].view(np.int64))),
             ],
-            [*carried, *counts, "log_perplexity"],
+            [*carried, *counts, "logp", "rare"],
         )
 
 
@@ -295,15 +365,6 @@ _IS_MARK = np.zeros(256, bool)
 _IS_MARK[list(MARKS)] = True
 
 
-def ngram_models(documents: DataFrame) -> DataFrame:
-    """One row per language with its model, counted over all documents."""
-    counted = documents.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").mapInArrow(
-        _counts, "lang string, ngram int, n long"
-    )
-    summed = counted.groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
-    return summed.groupBy("lang").applyInArrow(_model, MODEL)
-
-
 def _bands(scored: DataFrame, below: float, above: float) -> DataFrame:
     """``(lang, low, high)`` from the median and the median deviation of a language.
 
@@ -333,36 +394,50 @@ def _lang() -> Column:
     return F.coalesce("lang", F.lit("")).alias("lang")
 
 
-def _by_language(plain: DataFrame, models: DataFrame, languages: int, make, schema: str) -> DataFrame:
-    """``make(names, models)`` gives what is mapped over the rows of a few languages at a time."""
-    spark = plain.sparkSession
-    named = sorted(r["lang"] for r in models.select("lang").collect())
-    parts = []
-    for low in range(0, max(len(named), 1), languages):
-        some = named[low : low + languages]
-        rows = models.filter(F.col("lang").isin(some)).collect()
-        shared = spark.sparkContext.broadcast({r[0]: tuple(map(bytes, r[1:])) for r in rows})
-        own = plain if len(named) <= languages else plain.filter(F.col("lang").isin(some))
-        parts.append(own.mapInArrow(make(some, shared), schema))
-    return functools.reduce(DataFrame.union, parts)
-
+def _scored(documents: DataFrame, head: int) -> DataFrame:
+    """Counts and log perplexity of all documents."""
+    spark = documents.sparkSession
+    common, others = _head(ngram_model(documents).frame, head)
+    table = common.select("key", "logp").toArrow()
+    keys, logp = np.asarray(table["key"], np.int64).view(np.uint64), np.asarray(table["logp"], np.float64)
+    by = np.argsort(keys)
+    shared = spark.sparkContext.broadcast((keys[by].tobytes(), logp[by].tobytes()))
 
-def _fitted(documents: DataFrame, below: float, above: float, languages: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(scored, bands, models)`` of all documents."""
-    models = save(ngram_models(documents), "models").frame
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = (
-        f"doc_id {kind}, text_key long, lang string, n_words long, word_chars long, n_symbols long,"
-        " n_dup_lines long, n_repeat_words long, log_perplexity double"
+        f"doc_id {kind}, text_key long, text_key2 long, lang string, row long, n_words long,"
+        " word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, length long,"
+        " logp double, rare array<long>"
+    )
+    plain = documents.select("doc_id", *_text_keys(), _lang(), "text")
+    # The table fixes the numbers of its rows.
+    found = save(plain.mapInArrow(lambda batches: _scores(batches, *shared.value), schema), "scores").frame
+    rare = found.select("row", F.explode("rare").alias("key"))
+    summed = rare.join(others, "key").groupBy("row").agg(F.sum("logp").alias("more"))
+    whole = found.drop("rare").join(summed, "row", "left")
+    score = -(F.col("logp") + F.coalesce("more", F.lit(0.0))) / F.nullif("length", F.lit(0))
+    return save(whole.withColumn("log_perplexity", score).drop("row", "more", "logp", "length"), "perplexities").frame
+
+
+def _text_keys() -> list[Column]:
+    return [F.xxhash64("text").alias("text_key"), F.xxhash64(F.lit(1), "text").alias("text_key2")]
+
+
+def _judged(documents: DataFrame, below: float, above: float, head: int) -> DataFrame:
+    scored = _scored(documents, head)
+    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
+    return (
+        scored.join(_bands(scored, below, above), "lang", "left")
+        .withColumn("base_failed", base_failed)
+        .withColumn("perplexity", F.exp("log_perplexity"))
+        .withColumn("kept", ~F.col("base_failed") & inside)
+        .drop("log_perplexity")
     )
-    plain = documents.select("doc_id", F.xxhash64("text").alias("text_key"), _lang(), "text")
-    score = lambda _, shared: lambda batches: _scores(batches, shared.value)
-    scored = save(_by_language(plain, models, languages, score, schema), "scores").frame
-    return scored, _bands(scored, below, above), models
 
 
 def judge_quality(
-    documents: DataFrame, below: float = BELOW, above: float = ABOVE, languages: int = 16
+    documents: DataFrame, below: float = BELOW, above: float = ABOVE, head: int = HEAD
 ) -> DataFrame:
     """One row per document row with its counts, perplexity and verdict.
 
@@ -374,43 +449,25 @@ def judge_quality(
 
     A null text has no words and fails the base rules; it has no perplexity. Documents
     without a language are a language of their own, named ''. Repeated rows each count and
-    get a row. Other columns are ignored; an empty table gives an empty one. The models of
-    at most ``languages`` languages are sent to the tasks at a time.
+    get a row. Other columns are ignored; an empty table gives an empty one. At most
+    ``head`` n-grams are sent to the tasks, whatever their number; results are the same.
+    N-grams are told apart by 64-bit hashes.
     """
-    scored, bands, _ = _fitted(documents, below, above, languages)
-    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
-    return (
-        scored.join(bands, "lang", "left")
-        .withColumn("base_failed", base_failed)
-        .withColumn("perplexity", F.exp("log_perplexity"))
-        .withColumn("kept", ~F.col("base_failed") & inside)
-        .drop("log_perplexity")
-    )
+    return _judged(documents, below, above, head).drop("text_key2")
 
 
-def _good(batches: Iterator[pa.RecordBatch], models: dict, bands: dict) -> Iterator[pa.RecordBatch]:
-    """The rows that pass the base rules and lie within their language's band."""
-    for batch in _scores(batches, models):
-        n, repeated, score = (np.asarray(batch.column(c)) for c in ("n_words", "n_repeat_words", "log_perplexity"))
-        low, high = np.array([bands.get(x, (-np.inf, np.inf)) for x in batch.column("lang").to_pylist()]).reshape(-1, 2).T
-        kept = (n >= 50) & (100 * repeated <= 50 * n) & ~((score < low) | (score > high))
-        yield pa.record_batch([batch.column("row").filter(pa.array(kept))], ["row"])
-
-
-def keep_good(documents: DataFrame, below: float = BELOW, above: float = ABOVE, languages: int = 16) -> DataFrame:
+def keep_good(
+    documents: DataFrame, below: float = BELOW, above: float = ABOVE, sent: int = SENT_TEXTS
+) -> DataFrame:
     """The rows of ``documents`` that ``judge_quality`` keeps; columns as they were.
 
-    Rows are scored again where they are, as a join with their verdicts would shuffle all texts.
+    The verdict depends on text and language alone. Up to ``sent`` rejected texts are sent to
+    the tasks, as two hashes each, so that texts are not shuffled; more are joined.
     """
-    _, bands, models = _fitted(documents, below, above, languages)
-    bands = save(bands, "bands").frame
+    keys = ["lang", "text_key", "text_key2"]
+    bad = _judged(documents, below, above, HEAD).filter(~F.col("kept"))
+    rejected = save(bad.select(*keys).distinct(), "rejected")
     whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
-    plain = documents.select(whole.alias("row"), _lang(), "text")
-
-    def good(names: list[str], shared):
-        own = {r["lang"]: (r["low"], r["high"]) for r in bands.filter(F.col("lang").isin(names)).collect()}
-        return lambda batches: _good(batches, shared.value, own)
-
-    schema = f"row {documents.schema.simpleString()}"
-    return _by_language(plain, models, languages, good, schema).select("row.*")
+    keyed = documents.select(whole.alias("row"), _lang(), *_text_keys())
+    listed = F.broadcast(rejected.frame) if rejected.rows <= sent else rejected.frame
+    return keyed.join(listed, keys, "left_anti").select("row.*")
