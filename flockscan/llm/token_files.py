@@ -2,13 +2,14 @@
 
 Documents are range-sorted by id. Consecutive documents of a partition make a shard. In
 each shard the most frequent pairs of neighbouring symbols are replaced by nonterminals,
-again and again; a shard's row holds the rules, the length each nonterminal expands to and
-the remaining symbols of every document. With the lengths any span of a document can be
-decoded without expanding what lies before it.
+again and again until no pair occurs LEAST_COUNT times; a shard's row holds the rules, the
+length each nonterminal expands to and the remaining symbols of every document. With the
+lengths any span of a document can be decoded without expanding what lies before it.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import sys
 import types
@@ -26,9 +27,10 @@ from flockscan.llm.words import blocks, release_memory, split_words, text_buffer
 
 END_ID = 0
 SHARD_BYTES = 1 << 20
-# Rounds of replacement, nonterminals made in each, and how often a pair must occur.
-ROUNDS, RULES_PER_ROUND, LEAST_COUNT = 4, 500, 24
-COUNTERS = 1 << 19
+# How often a pair must occur to be replaced: a rule takes 12 bytes, a symbol 2 or 4.
+LEAST_COUNT = 24
+# Cells that pairs are counted in, where there are more than a few.
+COUNTERS, FEW = 1 << 19, 1 << 16
 # Pieces of text whose ids a worker remembers, and pieces handed to the library at once.
 REMEMBERED = 1_000_000
 PIECES = 2_048
@@ -94,7 +96,7 @@ class Encoder:
             encoded = self.tokenizer.encode_batch_fast(pieces[low : low + PIECES], add_special_tokens=False)
             ids = [e.ids for e in encoded]
             lengths += map(len, ids)
-            found.append(np.fromiter((i for own in ids for i in own), np.int32))
+            found.append(np.fromiter(itertools.chain.from_iterable(ids), np.int32))
         return np.concatenate(found), np.array(lengths, np.int64)
 
     def __call__(
@@ -158,6 +160,12 @@ def _ended(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray
 # Grammar
 
 
+def _runs(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of runs, one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(begins - before, lengths) + np.arange(lengths.sum())
+
+
 @dataclass
 class Grammar:
     """Rules: nonterminal ``first + i`` stands for the two symbols ``pairs[i]``.
@@ -173,17 +181,22 @@ class Grammar:
         """``(ids, ends)``: the expansions of all rules, one after the other."""
         ends = np.cumsum(self.lengths)
         ids = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
-        for i, pair in enumerate(self.pairs.tolist()):
-            at = int(ends[i] - self.lengths[i])
-            for symbol in pair:
-                if symbol < self.first:
-                    ids[at] = symbol
-                    at += 1
-                else:
-                    j = symbol - self.first
-                    size = int(self.lengths[j])
-                    ids[at : at + size] = ids[int(ends[j]) - size : int(ends[j])]
-                    at += size
+        begins, done = ends - self.lengths, np.zeros(len(ends), bool)
+        todo = np.arange(len(ends))
+        while len(todo):
+            # Rules whose two symbols are ids or expanded already.
+            rule = self.pairs[todo] - self.first
+            ready = ((rule < 0) | done[np.maximum(rule, 0)]).all(1)
+            now, todo, rule = todo[ready], todo[~ready], rule[ready]
+            at = begins[now]
+            for side in (0, 1):
+                own = rule[:, side]
+                plain = own < 0
+                ids[at[plain]] = own[plain] + self.first
+                inner = own[~plain]
+                ids[_runs(at[~plain], self.lengths[inner])] = ids[_runs(begins[inner], self.lengths[inner])]
+                at = at + np.where(plain, 1, self.lengths[np.maximum(own, 0)])
+            done[now] = True
         return ids, ends
 
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
@@ -202,8 +215,7 @@ class Grammar:
         long = np.flatnonzero(size > 1)
         rule = symbols[long] - self.first
         n = size[long]
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        out[np.repeat(total[long] - n, n) + within] = ids[np.repeat(ends[rule] - n, n) + within]
+        out[_runs(total[long] - n, n)] = ids[_runs(ends[rule] - n, n)]
         return out
 
     def decode_span(self, symbols: np.ndarray, low: int, high: int) -> np.ndarray:
@@ -215,70 +227,81 @@ class Grammar:
 
 
 def re_pair(
-    ids: np.ndarray,
-    counts: np.ndarray,
-    first: int,
-    rounds: int = ROUNDS,
-    rules_per_round: int = RULES_PER_ROUND,
-    least_count: int = LEAST_COUNT,
+    ids: np.ndarray, counts: np.ndarray, first: int, least_count: int = LEAST_COUNT
 ) -> tuple[Grammar, np.ndarray, np.ndarray]:
     """``(grammar, symbols, counts)`` of documents of ``counts`` ids each.
 
-    Each round replaces up to ``rules_per_round`` frequent pairs, all at once; where chosen
-    pairs overlap, the left one is taken. No pair reaches over the end of a document.
+    Pairs that occur ``least_count`` times are replaced, the most frequent first, until there
+    are none. Where frequent pairs overlap, the more frequent one is replaced and the other
+    waits for the next round, so that a round replaces many pairs and the most frequent one
+    everywhere. What is rare stays rare until a neighbour changes, so later rounds look only
+    at frequent pairs and at what stands beside a replacement. No pair reaches over the end
+    of a document.
     """
+    n, rare = len(ids), np.iinfo(np.int32).max
     symbols = ids.astype(np.int32)
-    last = np.zeros(len(symbols), bool)
+    # Places of the symbols before and after; n stands for none.
+    before, after = np.arange(-1, n, dtype=np.int32), np.arange(1, n + 2, dtype=np.int32)
+    before[0], after[n] = n, n
+    last = np.ones(n + 1, bool)
+    last[:n] = False
     last[np.cumsum(counts) - 1] = True
-    pairs, lengths = [np.empty((0, 2), np.int64)], np.empty(0, np.int64)
-    made = 0
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        a, b = symbols[:-1], symbols[1:]
-        # Pairs are counted in cells; the fullest cells each put up one of their pairs.
-        cell = (a * np.int32(40_503) + b) & np.int32(COUNTERS - 1)
-        cell[last[:-1]] = COUNTERS
-        full = np.bincount(cell, minlength=COUNTERS + 1)[:COUNTERS]
-        top = np.argpartition(-full, rules_per_round)[:rules_per_round]
-        top = np.sort(top[full[top] >= least_count])
-        number = np.full(COUNTERS + 1, -1, np.int32)
-        number[top] = np.arange(len(top))
-        own = number[cell]
-        place = np.flatnonzero(own >= 0)
-        own, code = own[place], a[place].astype(np.int64) << 32 | b[place]
-        candidate = np.zeros(len(top), np.int64)
-        candidate[own[::-1]] = code[::-1]
-        chosen = candidate[own] == code
-        place, own = place[chosen], own[chosen]
-        # Of these the pairs that are frequent themselves.
-        often = np.flatnonzero(np.bincount(own, minlength=len(top)) >= least_count)
+    alive, open_ = np.ones(n, bool), ~last[:n]
+    rank_at = np.full(n + 1, rare, np.int32)
+    grammar = Grammar(first, np.empty((0, 2), np.int64), np.empty(0, np.int64))
+    while True:
+        place = np.flatnonzero(open_)
+        a, b = symbols[place], symbols[after[place]]
+        # A pair of a rare cell is rare; the cells spare the sort most of them.
+        if len(place) > FEW:
+            cell = (a * np.int32(40_503) + b) & np.int32(COUNTERS - 1)
+            common = (np.bincount(cell, minlength=COUNTERS) >= least_count)[cell]
+            open_[place[~common]] = False
+            place, a, b = place[common], a[common], b[common]
+        code = a.astype(np.int64) << 32 | b
+        # Of a run of one symbol every second place counts.
+        odd = np.zeros(len(place), bool)
+        if len(place):
+            head = np.ones(len(place), bool)
+            head[1:] = (code[1:] != code[:-1]) | (place[1:] != after[place[:-1]])
+            if not head.all():
+                index = np.arange(len(place))
+                odd = (index - np.maximum.accumulate(np.where(head, index, 0))) % 2 == 1
+        pairs, which = np.unique(code, return_inverse=True)
+        times = np.bincount(which[~odd], minlength=len(pairs))
+        often = np.flatnonzero(times >= least_count)
         if not len(often):
             break
-        new = np.full(len(top), -1, np.int32)
-        new[often] = first + made + np.arange(len(often))
-        symbol = new[own]
-        place, symbol = place[symbol >= 0], symbol[symbol >= 0]
-        # Of neighbouring places every second one, counted from the first.
-        head = np.ones(len(place), bool)
-        head[1:] = np.diff(place) != 1
-        index = np.arange(len(place))
-        run = np.maximum.accumulate(np.where(head, index, 0))
-        kept = (index - run) % 2 == 0
-        place, symbol = place[kept], symbol[kept]
-        pair = np.stack([candidate[often] >> 32, candidate[often] & 0xFFFFFFFF], 1)
-        grammar = Grammar(first, np.concatenate(pairs), lengths)
+        open_[place[times[which] < least_count]] = False
+        rank = np.full(len(pairs), rare, np.int32)
+        often = often[np.argsort(-times[often], kind="stable")]
+        rank[often] = np.arange(len(often))
+        own = np.where(odd, rare, rank[which])
+        rank_at[place] = own
+        chosen = (own < rank_at[after[place]]) & (own < rank_at[before[place]])
+        rank_at[place] = rare
+        place, own = place[chosen], own[chosen]
+        taken = np.bincount(own, minlength=len(often)) >= least_count
+        new = np.where(taken, first + len(grammar.pairs) + np.cumsum(taken) - 1, 0)
+        place, own = place[taken[own]], own[taken[own]]
+        pair = pairs[often[taken]]
+        pair = np.stack([pair >> 32, pair & 0xFFFFFFFF], 1)
         size = grammar.sizes(pair.reshape(-1)).reshape(-1, 2).sum(1)
-        pairs.append(pair)
-        lengths = np.concatenate([lengths, size])
-        made += len(often)
-        symbols[place] = symbol
-        last[place] |= last[place + 1]
-        stay = np.ones(len(symbols), bool)
-        stay[place + 1] = False
-        symbols, last = symbols[stay], last[stay]
-    ends = np.flatnonzero(last) + 1
-    return Grammar(first, np.concatenate(pairs), lengths), symbols, np.diff(ends, prepend=0)
+        grammar = Grammar(first, np.concatenate([grammar.pairs, pair]), np.concatenate([grammar.lengths, size]))
+        gone = after[place]
+        symbols[place] = new[own]
+        last[place] = last[gone]
+        alive[gone] = open_[gone] = False
+        after[place] = after[gone]
+        before[after[gone]] = place
+        before[n] = n
+        # What stands beside a replacement may be frequent now.
+        open_[place] = ~last[place]
+        left = before[place]
+        left = left[~last[left]]
+        open_[left] = True
+    ends = np.flatnonzero(last[:n][alive]) + 1
+    return grammar, symbols[alive].astype(np.int32), np.diff(ends, prepend=0)
 
 
 # Files

@@ -175,7 +175,7 @@ def test_grammar_round_trip_and_spans():
     rng = np.random.default_rng(0)
     ids = np.concatenate([np.tile(rng.integers(0, 50, 40), 30), rng.integers(0, 50, 500), np.zeros(100, int)])
     counts = np.array([1, 700, 999, len(ids) - 1700])
-    grammar, symbols, left = token_files.re_pair(ids, counts, 50, rules_per_round=20, least_count=4)
+    grammar, symbols, left = token_files.re_pair(ids, counts, 50, least_count=4)
     assert len(symbols) < 0.7 * len(ids) and len(grammar.pairs) > 20
     assert np.array_equal(grammar.decode(symbols), ids)
     ends = np.cumsum(left)
@@ -186,6 +186,35 @@ def test_grammar_round_trip_and_spans():
         assert size == grammar.sizes(pair).sum() and (pair < 50 + k).all()
 
 
+def _most_frequent_pair(symbols, counts):
+    """How often the most frequent pair occurs within documents, without overlaps."""
+    seen, ends = Counter(), np.cumsum(counts)
+    for low, high in zip(ends - counts, ends, strict=True):
+        own, taken = symbols[low:high].tolist(), {}
+        for i, pair in enumerate(zip(own, own[1:])):
+            if pair[0] != pair[1] or taken.get(pair) != i - 1:
+                seen[pair] += 1
+                taken[pair] = i
+    return max(seen.values(), default=0)
+
+
+def test_grammar_ends_when_no_pair_is_frequent():
+    rng = np.random.default_rng(7)
+    tiled = np.tile(rng.integers(0, 50_000, 1000), 64)
+    grammar, symbols, left = token_files.re_pair(tiled, np.array([len(tiled)]), 50_000)
+    assert len(symbols) < 200 and grammar.lengths.max() >= 1000 and np.array_equal(grammar.decode(symbols), tiled)
+    runs = np.zeros(5000, np.int64)
+    skewed = (rng.random(6000) ** 4 * 40).astype(np.int64)
+    for ids, counts in ((runs, [5000]), (runs, [1, 2, 3, 4994]), (skewed, [6000]), (skewed, [1] * 1000 + [5000])):
+        for least in (2, 3, 24):
+            grammar, symbols, left = token_files.re_pair(ids, np.array(counts), 40, least)
+            assert np.array_equal(grammar.decode(symbols), ids) and _most_frequent_pair(symbols, left) < least
+            ends = np.cumsum(left)
+            assert np.array_equal(np.add.reduceat(grammar.sizes(symbols), ends - left), counts)
+    grammar, symbols, left = token_files.re_pair(skewed, np.array([6000]), 40, 7_000)
+    assert len(grammar.pairs) == 0 and np.array_equal(symbols, skewed)
+
+
 def test_token_files_on_odd_rows(spark, odd_documents, no_documents, definition):
     for documents, n in ((odd_documents, 18), (no_documents, 0)):
         path = new_path(spark, "tokens")
