@@ -38,6 +38,23 @@ PIECES = 2_048
 # Encoding
 
 
+def _blank_end(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Whether two bytes, ``before`` and ``last``, can end white space."""
+    wide = (before == 0xC2) | (before == 0x80) | (before == 0x81) | (before == 0x9A)
+    return (last <= 0x20) | ((last >= 0x80) & wide)
+
+
+def _runs(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of runs, one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(begins - before, lengths) + np.arange(lengths.sum())
+
+
+def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+    raw = data.tobytes()
+    return [raw[s:e].decode() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
 def _cuts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(starts, first)``: pieces of the texts that are encoded alike wherever they stand.
 
@@ -47,11 +64,7 @@ def _cuts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     head = np.zeros(n, bool)
     if n > 2:
-        before, further = data[1:-1], data[:-2]
-        blank = (before <= 0x20) | (
-            (before >= 0x80) & ((further == 0xC2) | (further == 0x80) | (further == 0x81) | (further == 0x9A))
-        )
-        head[2:] = (data[2:] == 0x20) & ~blank
+        head[2:] = (data[2:] == 0x20) & ~_blank_end(data[1:-1], data[:-2])
     filled = at[:-1][at[:-1] < at[1:]]
     head[filled] = True
     starts = np.flatnonzero(head)
@@ -68,6 +81,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.remembered = remembered
+        # Tokens that begin with a space, which byte-level vocabularies spell as U+0120.
+        spelled = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(spelled.values(), default=0) + 1, bool)
+        self.spaced[[i for token, i in spelled.items() if token.startswith("\u0120")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -89,16 +106,52 @@ class Encoder:
         self.places = np.stack([total[:-1], length], 1).astype(np.int32)
         self.again = np.zeros(len(keep), bool)
 
-    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """``(ids, lengths)`` of pieces; a batch keeps the library's per-call cost low."""
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, lengths)`` of texts; a batch keeps the library's per-call cost low."""
         found, lengths = [np.empty(0, np.int32)], []
-        for low in range(0, len(pieces), PIECES):
-            encoded = self.tokenizer.encode_batch_fast(pieces[low : low + PIECES], add_special_tokens=False)
+        for low in range(0, len(texts), PIECES):
+            encoded = self.tokenizer.encode_batch_fast(texts[low : low + PIECES], add_special_tokens=False)
             ids = [e.ids for e in encoded]
             lengths += map(len, ids)
             found.append(np.fromiter(itertools.chain.from_iterable(ids), np.int32))
         return np.concatenate(found), np.array(lengths, np.int64)
 
+    def _encode_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, lengths)`` of pieces that hold one space each, which they begin with.
+
+        As no token reaches over the start of a piece, many are encoded as one text, and each
+        begins with the one token that begins with its space. Where a special token takes
+        spaces away, there are fewer such tokens, and pieces are encoded one by one.
+        """
+        found, lengths = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for low in range(0, len(starts), PIECES):
+            part = slice(low, low + PIECES)
+            text = data[_runs(starts[part], ends[part] - starts[part])].tobytes().decode()
+            ids, _ = self._encode([text])
+            heads = np.flatnonzero(self.spaced[ids])
+            n = np.diff(np.append(heads, len(ids)))
+            if len(heads) != len(starts[part]):
+                ids, n = self._encode(_strings(data, starts[part], ends[part]))
+            found.append(ids)
+            lengths.append(n)
+        return np.concatenate(found), np.concatenate(lengths)
+
+    def _encode_pieces(
+        self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(ids, begins, lengths)`` of pieces."""
+        blanks = np.concatenate([[0], np.cumsum(data == 0x20)])
+        plain = self.spaced.any() & (data[starts] == 0x20) & (blanks[ends] - blanks[starts] == 1)
+        plain &= (ends - starts > 1) & ~_blank_end(data[ends - 1], data[ends - 2])
+        words, others = np.flatnonzero(plain), np.flatnonzero(~plain)
+        ids, n = self._encode_words(data, starts[words], ends[words])
+        more, m = self._encode(_strings(data, starts[others], ends[others]))
+        lengths = np.empty(len(starts), np.int64)
+        begins = np.empty(len(starts), np.int64)
+        lengths[words], lengths[others] = n, m
+        begins[words], begins[others] = np.cumsum(n) - n, len(ids) + np.cumsum(m) - m
+        return np.concatenate([ids, more]), begins, lengths
+
     def __call__(
         self, data: np.ndarray, at: np.ndarray, thinned: bool = False
     ) -> tuple[np.ndarray, np.ndarray]:
@@ -121,12 +174,8 @@ class Encoder:
                 else:
                     self.thin()
                 return self(data, at, thinned=True)
-            raw = data.tobytes()
-            pieces = [
-                raw[s:e].decode() for s, e in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)
-            ]
-            ids, lengths = self._encode(pieces)
-            begin = len(self.ids) + np.cumsum(lengths) - lengths
+            ids, begin, lengths = self._encode_pieces(data, starts[where[new]], ends[where[new]])
+            begin += len(self.ids)
             self.ids = np.concatenate([self.ids, ids])
             to = np.searchsorted(self.keys, keys[new])
             self.keys = np.insert(self.keys, to, keys[new])
@@ -160,12 +209,6 @@ def _ended(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray
 # Grammar
 
 
-def _runs(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The places of runs, one after the other."""
-    before = np.cumsum(lengths) - lengths
-    return np.repeat(begins - before, lengths) + np.arange(lengths.sum())
-
-
 @dataclass
 class Grammar:
     """Rules: nonterminal ``first + i`` stands for the two symbols ``pairs[i]``.

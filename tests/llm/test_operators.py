@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections import Counter
@@ -171,6 +172,17 @@ def test_encoder_equals_the_library(definition):
             assert own.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_where_special_tokens_take_spaces_away(definition):
+    changed = json.loads(definition)
+    changed["added_tokens"][0] |= {"lstrip": True, "single_word": False}
+    changed = json.dumps(changed)
+    encoder = token_files.Encoder(changed)
+    texts = ["a bc <|endoftext|> d", " <|endoftext|>", "no \nword\n <|endoftext|>x y"]
+    ids, counts = encoder(*token_files.text_buffer(pa.array(texts)))
+    for text, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert own.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_grammar_round_trip_and_spans():
     rng = np.random.default_rng(0)
     ids = np.concatenate([np.tile(rng.integers(0, 50, 40), 30), rng.integers(0, 50, 500), np.zeros(100, int)])
