@@ -30,7 +30,7 @@ SHARD_BYTES = 1 << 20
 # How often a pair must occur to be replaced: a rule takes 12 bytes, a symbol 2 or 4.
 LEAST_COUNT = 24
 # Cells that pairs are counted in, where there are more than a few.
-COUNTERS, FEW = 1 << 19, 1 << 16
+COUNTERS, FEW = 1 << 16, 1 << 15
 # Pieces of text whose ids a worker remembers, and pieces handed to the library at once.
 REMEMBERED = 1_000_000
 PIECES = 2_048
