@@ -95,6 +95,23 @@ def source_weights(
     )
 
 
+def _begun(rows: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """``rows`` with ``begun``, the sum of ``value`` over the earlier rows of their source.
+
+    A range sort spreads a source over partitions, so that no task holds a whole one; what
+    the earlier partitions add up to is a row for each source and partition.
+    """
+    sorted_rows = rows.orderBy("source", *order).withColumn("place", F.monotonically_increasing_id())
+    # The id keeps the partition above bit 33.
+    placed = save(sorted_rows.withColumn("part", F.shiftright("place", 33)), name).frame
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("source", "part").agg(F.sum(value).alias("total"))
+    parts = parts.select("source", "part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
+    within = Window.partitionBy("source", "part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    begun = F.col("base") + F.coalesce(F.sum(value).over(within), F.lit(0))
+    return placed.join(parts, ["source", "part"]).withColumn("begun", begun).drop("part", "place", "base")
+
+
 def plan_mixture(
     documents: DataFrame,
     limit: float | None = REPETITION_LIMIT,
@@ -108,9 +125,10 @@ def plan_mixture(
     of the last block belongs to the rest if it begins within the budget.
 
     A null text has no tokens; without tokens a document is used once. Documents without a
-    source are a source named ''. Repeated rows are counted, blocked and used each; an
-    equal ``doc_id`` gives an equal block. Other columns are ignored; an empty table gives
-    an empty one.
+    source are a source named ''. Repeated rows are counted and blocked each; rows with equal
+    id, text and source are used alike, as often as the first of them. An equal ``doc_id``
+    gives an equal block, rows without one are dealt by their text. Other columns are
+    ignored; an empty table gives an empty one.
     """
     source = F.coalesce("source", F.lit(""))
     counted = documents.select(
@@ -132,33 +150,37 @@ def plan_mixture(
     )
     weights = save(weights.withColumnRenamed("n_tokens", "source_tokens"), "weights").frame
 
-    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    # Rows without an id are dealt by their text, so that a crowd of them is no block of its own.
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.col("text_key").cast("string"), F.lit(""))
     placed = counted.join(weights, "source").withColumn("block", draw(F.lit("block"), doc) % F.col("blocks"))
     sizes = placed.groupBy("source", "block").agg(
         F.sum("n_tokens").alias("size"), F.first("rest").alias("rest")
     )
     # Blocks of a source in the order of a random draw, with the tokens before each.
-    order = Window.partitionBy("source").orderBy(draw(F.lit("order"), F.col("source"), F.col("block")), "block")
-    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    ordered = sizes.withColumn("left", F.col("rest") - F.coalesce(before, F.lit(0)))
+    ordered = _begun(sizes, [draw(F.lit("order"), F.col("source"), F.col("block")), F.col("block")], "size", "order")
     # Tokens still wanted when a block begins: none, all of it or a part.
-    blocks = save(ordered.select("source", "block", "size", "left"), "blocks").frame
+    left = F.col("rest") - F.col("begun")
+    blocks = save(ordered.select("source", "block", "size", left.alias("left")), "blocks").frame
     joined = placed.join(blocks, ["source", "block"])
-    cut = (F.col("left") > 0) & (F.col("left") < F.col("size"))
-    within = Window.partitionBy("source").orderBy(F.md5(doc), "text_key")
-    begun = F.coalesce(F.sum("n_tokens").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Where no tokens are, nothing is repeated.
+    cut = (F.col("left") > 0) & (F.col("left") < F.col("size")) & (F.col("n_tokens") > 0)
+    equal = ["source", "doc_id", "text_key"]
+    within = joined.filter(cut).groupBy(*equal).agg(
+        F.first("left").alias("left"), F.sum("n_tokens").alias("tokens")
+    )
+    within = _begun(within, [F.md5(doc), F.col("text_key")], "tokens", "cut")
+    within = within.select(*(F.col(c).alias(f"_{c}") for c in equal), (F.col("begun") < F.col("left")).alias("used"))
+    same = F.lit(True)
+    for c in equal:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
     parts = [
         joined.filter(~cut).withColumn("more", (F.col("left") > 0).cast("int")),
-        joined.filter(cut).withColumn("more", (begun < F.col("left")).cast("int")),
+        joined.filter(cut).join(within, same).withColumn("more", F.col("used").cast("int")),
     ]
     copies = F.when(F.col("n_tokens") == 0, 1).otherwise(F.col("passes") + F.col("more")).cast("int")
-    return (
-        parts[0]
-        .unionByName(parts[1])
-        .select(
-            "doc_id", "text_key", "source", "n_tokens", "exponent", "weight", "budget", "block", copies.alias("copies")
-        )
-    )
+    found = ["doc_id", "text_key", "source", "n_tokens", "exponent", "weight", "budget", "block"]
+    every, some = (part.select(*found, copies.alias("copies")) for part in parts)
+    return every.unionByName(some)
 
 
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:

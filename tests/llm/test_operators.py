@@ -396,6 +396,43 @@ def test_mixture_meets_its_budgets(spark):
     assert Counter(r["doc_id"] for r in mixed.collect()) == {r["doc_id"]: r["copies"] for r in plan}
 
 
+def test_mixture_equals_running_sums(spark):
+    spread = [(i, "w " * (i % 9), "a" if i % 4 else "b") for i in range(400)]
+    crowd = [(None, "v " * (1 + i % 300), "a") for i in range(600)] + [(7, "u u u", "b")] * 200
+    documents = spark.createDataFrame(spread + crowd, "doc_id bigint, text string, source string").repartition(7)
+    plan = mixing.plan_mixture(documents, limit=1.7, block_tokens=500).collect()
+    assert len(plan) == 1200
+    # Rows without an id are dealt over the blocks.
+    assert len({r["block"] for r in plan if r["doc_id"] is None}) > 100
+    for source in "ab":
+        own = [r for r in plan if r["source"] == source]
+        tokens = sum(r["n_tokens"] for r in own)
+        passes, rest = divmod(own[0]["budget"], tokens)
+        sizes = Counter()
+        for r in own:
+            sizes[r["block"]] += r["n_tokens"]
+
+        def drawn(block, source=source):
+            return int(hashlib.md5(f"order:{source}:{block}".encode()).hexdigest()[:8], 16), block
+
+        left = rest
+        for block in sorted(sizes, key=drawn):
+            rows = {(r["doc_id"], r["text_key"]): 0 for r in own if r["block"] == block and r["n_tokens"]}
+            for r in own:
+                if (r["doc_id"], r["text_key"]) in rows:
+                    rows[r["doc_id"], r["text_key"]] += r["n_tokens"]
+            named = {k: str(k[1] if k[0] is None else k[0]) for k in rows}
+            begun, more = 0, {}
+            for key in sorted(rows, key=lambda k: (hashlib.md5(named[k].encode()).hexdigest(), k[1])):
+                more[key] = begun < left
+                begun += rows[key]
+            for r in own:
+                if r["block"] == block:
+                    wanted = passes + more[r["doc_id"], r["text_key"]] if r["n_tokens"] else 1
+                    assert r["copies"] == wanted
+            left -= sizes[block]
+
+
 def test_mixing_on_odd_rows(odd_documents, no_documents):
     plan = mixing.plan_mixture(odd_documents).collect()
     assert len(plan) == 18 and all(r["copies"] >= 1 for r in plan)
