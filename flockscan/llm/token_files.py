@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flockscan.llm.words import blocks, release_memory, split_words, text_buffer, word_hashes
+from flockscan.llm.words import Words, blocks, release_memory, text_buffer, word_hashes
 
 END_ID = 0
 SHARD_BYTES = 1 << 20
@@ -31,8 +31,10 @@ SHARD_BYTES = 1 << 20
 LEAST_COUNT = 24
 # Cells that pairs are counted in, where there are more than a few.
 COUNTERS, FEW = 1 << 16, 1 << 15
-# Pieces of text whose ids a worker remembers, and pieces handed to the library at once.
-REMEMBERED = 1_000_000
+# Ids of pieces of text that a worker remembers, cells to find them by, and pieces handed to
+# the library at once.
+REMEMBERED, CELLS = 1 << 23, 1 << 21
+LOW = (1 << 32) - 1
 PIECES = 2_048
 
 # Encoding
@@ -71,6 +73,12 @@ def _cuts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.searchsorted(starts, at)
 
 
+def _cells(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two cells of hashes."""
+    last = np.uint64(CELLS - 1)
+    return (hashes & last).astype(np.int64), (hashes >> np.uint64(32) & last).astype(np.int64)
+
+
 class Encoder:
     """Encodes texts with a tokenizer, each distinct piece of text once."""
 
@@ -87,24 +95,14 @@ class Encoder:
         self.spaced[[i for token, i in spelled.items() if token.startswith("\u0120")]] = True
         self.forget()
 
-    def forget(self) -> None:
-        self.keys = np.empty(0, np.uint64)
-        self.places = np.empty((0, 2), np.int32)
-        self.ids = np.empty(0, np.int32)
-        self.again = np.empty(0, bool)
-
-    def thin(self) -> None:
-        """Forget what came up in one block only; all if that is too little."""
-        keep = np.flatnonzero(self.again)
-        if len(keep) > self.remembered // 2:
-            self.forget()
-            return
-        begin, length = self.places[keep].astype(np.int64).T
-        total = np.concatenate([[0], np.cumsum(length)])
-        self.ids = self.ids[np.repeat(begin - total[:-1], length) + np.arange(total[-1])]
-        self.keys = self.keys[keep]
-        self.places = np.stack([total[:-1], length], 1).astype(np.int32)
-        self.again = np.zeros(len(keep), bool)
+    def forget(self, ids: int = 0) -> None:
+        """Start anew, with room for ``ids`` ids at least."""
+        # A piece has two cells, by the lower and the upper half of its hash; 0 is an empty cell.
+        self.keys = np.zeros(CELLS, np.uint64)
+        # Where a piece's ids begin, above bit 32, and how many they are.
+        self.places = np.zeros(CELLS, np.int64)
+        self.ids = np.empty(max(self.remembered, ids), np.int32)
+        self.filled = 0
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, lengths)`` of texts; a batch keeps the library's per-call cost low."""
@@ -140,7 +138,8 @@ class Encoder:
         self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray
     ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(ids, begins, lengths)`` of pieces."""
-        blanks = np.concatenate([[0], np.cumsum(data == 0x20)])
+        blanks = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
+        np.cumsum(data == 0x20, out=blanks[1:])
         plain = self.spaced.any() & (data[starts] == 0x20) & (blanks[ends] - blanks[starts] == 1)
         plain &= (ends - starts > 1) & ~_blank_end(data[ends - 1], data[ends - 2])
         words, others = np.flatnonzero(plain), np.flatnonzero(~plain)
@@ -152,42 +151,39 @@ class Encoder:
         begins[words], begins[others] = np.cumsum(n) - n, len(ids) + np.cumsum(m) - m
         return np.concatenate([ids, more]), begins, lengths
 
-    def __call__(
-        self, data: np.ndarray, at: np.ndarray, thinned: bool = False
-    ) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, counts)`` of all texts, one after the other."""
         starts, first = _cuts(data, at)
         if not len(starts):
             return np.empty(0, np.int32), np.zeros(len(at) - 1, np.int64)
         ends = np.append(starts[1:], len(data))
-        words = split_words(data, at, np.ones(256, bool))
-        words.starts, words.ends = starts, ends
-        keys, where, code = np.unique(word_hashes(words), return_index=True, return_inverse=True)
-        slot = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        known = self.keys[slot] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        self.again[slot[known]] = True
-        new = np.flatnonzero(~known)
-        if len(new):
-            if len(self.keys) + len(new) > self.remembered and len(self.keys):
-                if thinned:
+        hashes = word_hashes(Words(data, starts, ends, first))
+        hashes[hashes == 0] = 1
+        cell, other = _cells(hashes)
+        cell = np.where(self.keys[cell] == hashes, cell, other)
+        place = self.places[cell]
+        unknown = np.flatnonzero(self.keys[cell] != hashes)
+        if len(unknown):
+            new, where, which = np.unique(hashes[unknown], return_index=True, return_inverse=True)
+            where = unknown[where]
+            ids, begins, lengths = self._encode_pieces(data, starts[where], ends[where])
+            if self.filled + len(ids) > len(self.ids):
+                if self.filled:
                     self.forget()
-                else:
-                    self.thin()
-                return self(data, at, thinned=True)
-            ids, begin, lengths = self._encode_pieces(data, starts[where[new]], ends[where[new]])
-            begin += len(self.ids)
-            self.ids = np.concatenate([self.ids, ids])
-            to = np.searchsorted(self.keys, keys[new])
-            self.keys = np.insert(self.keys, to, keys[new])
-            places = np.stack([begin, lengths], 1).astype(np.int32)
-            self.places = np.insert(self.places, to, places, axis=0)
-            self.again = np.insert(self.again, to, False)
-            slot = np.searchsorted(self.keys, keys)
-        begin, length = self.places[slot].astype(np.int64).T
-        length = length[code]
+                    return self(data, at)
+                self.forget(len(ids))
+            self.ids[self.filled : self.filled + len(ids)] = ids
+            fresh = begins + self.filled << 32 | lengths
+            self.filled += len(ids)
+            place[unknown] = fresh[which]
+            # The first cell if it is empty, else the second, whatever it holds.
+            cell, other = _cells(new)
+            cell = np.where(self.keys[cell] == 0, cell, other)
+            self.keys[cell] = new
+            self.places[cell] = fresh
+        begin, length = place >> 32, place & LOW
         total = np.concatenate([[0], np.cumsum(length)])
-        index = np.repeat(begin[code] - total[:-1], length) + np.arange(total[-1])
-        return self.ids[index], np.diff(total[first])
+        return self.ids[_runs(begin, length)], np.diff(total[first])
 
 
 def _encoder(definition: str) -> Encoder:
@@ -299,7 +295,8 @@ def re_pair(
         if len(place) > FEW:
             cell = (a * np.int32(40_503) + b) & np.int32(COUNTERS - 1)
             common = (np.bincount(cell, minlength=COUNTERS) >= least_count)[cell]
-            open_[place[~common]] = False
+            open_[place[np.flatnonzero(~common)]] = False
+            common = np.flatnonzero(common)
             place, a, b = place[common], a[common], b[common]
         code = a.astype(np.int64) << 32 | b
         # Of a run of one symbol every second place counts.
@@ -308,25 +305,26 @@ def re_pair(
             head = np.ones(len(place), bool)
             head[1:] = (code[1:] != code[:-1]) | (place[1:] != after[place[:-1]])
             if not head.all():
-                index = np.arange(len(place))
-                odd = (index - np.maximum.accumulate(np.where(head, index, 0))) % 2 == 1
+                index = np.arange(len(place), dtype=np.int32)
+                odd = ((index - np.maximum.accumulate(np.where(head, index, 0))) & 1).astype(bool)
         pairs, which = np.unique(code, return_inverse=True)
         times = np.bincount(which[~odd], minlength=len(pairs))
         often = np.flatnonzero(times >= least_count)
         if not len(often):
             break
-        open_[place[times[which] < least_count]] = False
+        open_[place[np.flatnonzero((times < least_count)[which])]] = False
         rank = np.full(len(pairs), rare, np.int32)
         often = often[np.argsort(-times[often], kind="stable")]
         rank[often] = np.arange(len(often))
         own = np.where(odd, rare, rank[which])
         rank_at[place] = own
-        chosen = (own < rank_at[after[place]]) & (own < rank_at[before[place]])
+        chosen = np.flatnonzero((own < rank_at[after[place]]) & (own < rank_at[before[place]]))
         rank_at[place] = rare
         place, own = place[chosen], own[chosen]
         taken = np.bincount(own, minlength=len(often)) >= least_count
         new = np.where(taken, first + len(grammar.pairs) + np.cumsum(taken) - 1, 0)
-        place, own = place[taken[own]], own[taken[own]]
+        replaced = np.flatnonzero(taken[own])
+        place, own = place[replaced], own[replaced]
         pair = pairs[often[taken]]
         pair = np.stack([pair >> 32, pair & 0xFFFFFFFF], 1)
         size = grammar.sizes(pair.reshape(-1)).reshape(-1, 2).sum(1)
