@@ -11,11 +11,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flockscan.operators.components import component_roots
 from flockscan.operators.graph import endpoints
-from flockscan.operators.skew import number_rows
 from flockscan.storage import Saved, save
 
-# Pairs of a source and a node that one group of sources may reach.
+# Pairs of a source and a node that one group of sources reaches, about.
 REACHED_ROWS = 1 << 28
 
 
@@ -95,6 +95,18 @@ def _levels(ways: DataFrame, sources: DataFrame) -> list[Saved]:
     return levels
 
 
+def _group_count(edges: DataFrame, every: Saved, asked: Saved, reached_rows: int) -> int:
+    """How many groups the sources make: each reaches its own component and no more."""
+    if asked.rows * every.rows <= reached_rows:
+        return 1
+    roots = component_roots(edges, every.frame)
+    sizes = roots.frame.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    met = asked.frame.join(roots.frame, "id").groupBy("root").agg(F.count(F.lit(1)).alias("asking"))
+    reached = met.join(sizes, "root").agg(F.sum(F.col("asking") * F.col("n"))).first()[0] or 0
+    roots.discard()
+    return max(1, min(asked.rows, -(-reached // reached_rows)))
+
+
 def _dependencies(ways: DataFrame, levels: list[Saved]) -> list[DataFrame]:
     """``(id, part)`` by level: what of the paths of each source runs through a node, from the farthest back."""
     parts = []
@@ -124,19 +136,21 @@ def betweenness_centrality(
     outwards, a level at a time for all sources of a group, then shares are passed back. With
     ``sources(id)`` only paths from these nodes count, and the sum is scaled up to all nodes, an
     estimate. ``normalized`` divides by the number of pairs of other nodes. At most about
-    ``reached_rows`` rows are reached by a group. Loops and repeated edges don't matter; nodes
+    ``reached_rows`` rows are reached by a group: sources are dealt over groups by hash, and a
+    source counts with the size of its component. Loops and repeated edges don't matter; nodes
     without an edge, known only from ``nodes(id)``, have 0.
     """
     plain = edges.filter("source <> target").select("source", "target").distinct()
     ways = _ways(plain).frame
     every = save(_nodes(edges, nodes), "nodes")
     asked = every.frame if sources is None else sources.select("id").distinct().join(every.frame, "id", "left_semi")
-    per_group = max(1, reached_rows // max(1, every.rows))
-    numbered = save(number_rows(asked, ["id"], "number"), "sources")
+    chosen = save(asked, "sources")
+    groups = _group_count(plain, every, chosen, reached_rows)
     parts: list[DataFrame] = []
-    for first in range(0, numbered.rows, per_group):
-        some = numbered.frame.filter((F.col("number") >= first) & (F.col("number") < first + per_group))
-        levels = _levels(ways, some)
+    for group in range(groups):
+        levels = _levels(ways, chosen.frame.filter(F.pmod(F.xxhash64("id"), F.lit(groups)) == group))
+        if not levels:
+            continue
         # One row per node is kept of a group.
         found = reduce(DataFrame.union, _dependencies(ways, levels), ways.limit(0).select("id", F.lit(0.0).alias("part")))
         parts.append(save(found.groupBy("id").agg(F.sum("part").alias("part")), "between").frame)
@@ -145,7 +159,7 @@ def betweenness_centrality(
     total = reduce(DataFrame.union, parts, ways.limit(0).select("id", F.lit(0.0).alias("part")))
     total = total.groupBy("id").agg(F.sum("part").alias("part"))
     n = every.rows
-    scale = n / max(1, numbered.rows)
+    scale = n / max(1, chosen.rows)
     # Each unordered pair is met from both of its ends.
     scale *= 1 / max(1, (n - 1) * (n - 2)) if normalized else 0.5
     value = F.coalesce("part", F.lit(0.0)) * F.lit(float(scale))

@@ -7,6 +7,7 @@ from collections import defaultdict, deque
 import numpy as np
 import pytest
 
+from flockscan.operators import centrality
 from flockscan.operators.centrality import betweenness_centrality, eigenvector_centrality
 
 SCHEMA = "source string, target string, weight double"
@@ -72,6 +73,25 @@ def test_betweenness(spark, kind, few):
     assert values == pytest.approx({v: x * n / len(sources) / ((n - 1) * (n - 2)) for v, x in expected.items()})
 
 
+def test_a_source_counts_with_its_component(spark, monkeypatch):
+    made = []
+
+    def levels(*given, known=centrality._levels):
+        made.append(given)
+        return known(*given)
+
+    monkeypatch.setattr(centrality, "_levels", levels)
+    pairs = [(f"n{i:02}", f"n{i + 1:02}", 1.0) for i in range(24) if i % 3 < 2]
+    frame = spark.createDataFrame(pairs, SCHEMA)
+    # Eight paths of three nodes: 72 pairs are reached, far fewer than the square of all nodes.
+    found = betweenness_centrality(frame, normalized=False, reached_rows=100)
+    assert {r["id"]: r["betweenness"] for r in found.collect()} == {f"n{i:02}": float(i % 3 == 1) for i in range(24)}
+    assert len(made) == 1
+    few = betweenness_centrality(frame, normalized=False, reached_rows=24)
+    assert sorted(few.collect()) == sorted(found.collect())
+    assert len(made) == 4
+
+
 def test_betweenness_in_pairs(spark):
     frame = spark.createDataFrame(graph("path"), SCHEMA)
     found = {r["id"]: r["betweenness"] for r in betweenness_centrality(frame, normalized=False).collect()}
