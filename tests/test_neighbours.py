@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from conftest import plan_of
@@ -159,3 +161,47 @@ def test_coordinated_groups(spark):
     assert sizes == [(0, 3), (1, 2)]
     members = {r[0]: r[1] for r in group_members(df, 0.05).collect()}
     assert members == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1}
+
+
+def test_blocks_grow_with_the_base(spark, monkeypatch):
+    """Small blocks of a large base would send every query out again and again."""
+    seen = []
+
+    def visits(queries, cells, *rest, known=near._visits):
+        seen.append(int(cells.blocks.sum()))
+        return known(queries, cells, *rest)
+
+    monkeypatch.setattr(near, "_visits", visits)
+    vectors = random_vectors(spark, 3000, 4)
+    found = near.nearest_neighbours(vectors, k=3, broadcast_bytes=0, block_rows=8)
+    assert rows(found) == rows(near.nearest_neighbours(vectors, k=3))
+    assert seen[0] <= 2 * near.MAX_BLOCKS
+
+
+def test_memory_of_a_search_is_its_base_and_tiles():
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(60_000, 16)).astype(np.float32)
+    queries = base[:1_000].astype(float)
+    tracemalloc.start()
+    found = [x for x in near.Closest(base, np.arange(len(base)), 5).near(queries)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(x) for x, _, _ in found) == 5_000
+    # A matrix of distances alone took 32 MB before, of which several were held.
+    assert peak < 3 * base.nbytes + (16 << 20)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-25, 1e-40, 1e25])
+def test_any_scale(scale):
+    rng = np.random.default_rng(4)
+    base = (rng.normal(size=(5_000, 3)) * scale).astype(np.float32)
+    base[100:140] = base[7]
+    ids = rng.permutation(len(base))
+    queries = base[:50].astype(float)
+    for rows_, cols, dist2 in near.Closest(base, ids, 6).near(queries):
+        for row in range(len(queries)):
+            gap = queries[row] - base.astype(float)
+            far = np.einsum("ij,ij->i", gap, gap)
+            nearest = np.lexsort((ids, far))[:6]
+            assert cols[rows_ == row].tolist() == nearest.tolist()
+            assert dist2[rows_ == row].tolist() == far[nearest].tolist()
