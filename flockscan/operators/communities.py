@@ -95,6 +95,7 @@ def _round(
         state.selectExpr("id AS other", "label"),
         "other",
         facts_rows=level.ways.rows,
+        by_shuffle=True,
     )
     links = (
         neighbours.select("id", "label", "w")
@@ -102,10 +103,9 @@ def _round(
         .groupBy("id", "label")
         .agg(F.expr("sum(w) AS w"))
     )
-    options = spread_join(links, groups, "label", facts_rows=level.option_rows)
-    options = spread_join(
-        options, state.withColumnRenamed("label", "own"), "id", facts_rows=level.option_rows
-    )
+    options = spread_join(links, groups, "label", facts_rows=level.option_rows, by_shuffle=True)
+    own = state.withColumnRenamed("label", "own")
+    options = spread_join(options, own, "id", facts_rows=level.option_rows, by_shuffle=True)
     # A node does not count in the degree of the community it would leave or join.
     gain = f"w - {resolution!r}D * k * if(label = own, group_k - k, group_k) / {ends!r}D"
     choice = (
@@ -181,12 +181,12 @@ def _next_level(level: Level, labels: DataFrame) -> Level:
     once = level.ways.frame.filter(F.col("id") < F.col("other"))
     starts = labels.select("id", F.col("label").alias("source"))
     stops = labels.select(F.col("id").alias("other"), F.col("label").alias("target"))
-    moved = spread_join(once, starts, "id", facts_rows=level.ways.rows)
-    moved = spread_join(moved, stops, "other", facts_rows=level.ways.rows)
+    moved = spread_join(once, starts, "id", facts_rows=level.ways.rows, by_shuffle=True)
+    moved = spread_join(moved, stops, "other", facts_rows=level.ways.rows, by_shuffle=True)
     edges = save(
         moved.groupBy("source", "target").agg(F.sum("w").alias("w")), "moved"
     )
-    loops = level.nodes.frame.join(labels, "id").select(F.col("label").alias("id"), "loop")
+    loops = level.nodes.frame.join(labels.hint("merge"), "id").select(F.col("label").alias("id"), "loop")
     upper = _level(edges.frame, loops)
     edges.discard()
     return upper
@@ -219,7 +219,7 @@ def communities(
             break
         reached = q
         upward = settled.frame.selectExpr("id AS root", "label")
-        followed = spread_join(found.frame, upward, "root", facts_rows=found.rows)
+        followed = spread_join(found.frame, upward, "root", facts_rows=found.rows, by_shuffle=True)
         onward = save(followed.selectExpr("id", "label AS root"), "found")
         found.discard()
         upper = _next_level(level, settled.frame)

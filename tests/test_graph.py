@@ -4,8 +4,10 @@ import random
 from itertools import product
 
 import pytest
+from conftest import plan_of
 from pyspark.sql import functions as F
 
+from flockscan.operators import communities as louvain
 from flockscan.operators import components as comps
 from flockscan.operators import graph, skew
 from flockscan.operators.collocations import collocations
@@ -200,3 +202,20 @@ def test_number_rows(spark):
     assert got == sorted(range(5000), key=lambda i: (-(i % 7), i))
     assert [r["n"] for r in numbered.select("n").orderBy("n").collect()] == list(range(5000))
     assert skew.number_rows(rows.limit(0), [F.asc("id")], "n").isEmpty()
+
+
+def test_rounds_of_communities_broadcast_nothing(spark, monkeypatch):
+    """A small table sent through the driver in each of many rounds adds up."""
+    plans = []
+
+    def saved(df, label, known=louvain.save, **metrics):
+        plans.append(plan_of(df))
+        return known(df, label, **metrics)
+
+    monkeypatch.setattr(louvain, "save", saved)
+    pairs = [(0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5), (2, 3)]
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "source bigint, target bigint, weight double")
+    found = {r["id"]: r["modularity"] for r in louvain.communities(edges).collect()}
+    assert found == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1}
+    assert sum("SortMergeJoin" in plan for plan in plans) > 2
+    assert not any("BroadcastExchange" in plan for plan in plans)
