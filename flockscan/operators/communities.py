@@ -5,6 +5,12 @@ neighbouring community of greatest gain; letting all move makes neighbours trade
 places for ever on dense graphs. A lone node joins another lone node only towards
 the smaller label (Lu, Halappanavar and Kalyanaraman, 2015). When a round no
 longer raises modularity, communities become nodes and the next level starts.
+
+Late rounds of a level move little and their number grows with the graph, so a level
+first ends at a rise that is fine enough to go on from, and a finer one follows when
+levels gain no more than that (threshold scaling, Lu et al.). Afterwards the nodes of the
+whole graph are tried once more from the communities found, which gains more than
+the rounds left out.
 """
 
 from __future__ import annotations
@@ -22,14 +28,19 @@ from flockscan.storage import Saved, save
 
 # A move must gain more than this share of all edge weight, so rounding moves nothing.
 LEAST_GAIN = 1e-12
+# The rise of modularity at which levels end at first, in each sweep from the nodes upwards,
+# and by how much it falls when a level rises by less.
+SWEEP_RISES = (1e-3, 2e-4)
+FINER = 1e-2
 
 
 @dataclass
 class Level:
     """One graph of the hierarchy.
 
-    ``ways(id, other, w)`` has every edge in both directions, ``nodes(id, k, loop)``
-    the weighted degree and the weight of loops; a loop counts twice in ``k``.
+    ``ways(id, other, w, k)`` has every edge in both directions, ``nodes(id, k, loop)``
+    the weighted degree and the weight of loops; a loop counts twice in ``k``. An edge
+    carries the degree of its ``id``, which a round needs for every edge.
     """
 
     ways: Saved
@@ -74,7 +85,10 @@ def _level(edges: DataFrame, loops: DataFrame) -> Level:
         "nodes",
         ends=F.sum("k"),
     )
-    return Level(ways, nodes)
+    degrees = nodes.frame.select("id", "k")
+    known = save(spread_join(ways.frame, degrees, "id", facts_rows=ways.rows, by_shuffle=True), "ways")
+    ways.discard()
+    return Level(known, nodes)
 
 
 def _round(
@@ -98,26 +112,25 @@ def _round(
         by_shuffle=True,
     )
     links = (
-        neighbours.select("id", "label", "w")
-        .union(state.selectExpr("id", "label", "0D AS w"))
+        neighbours.selectExpr("id", "label", "w", "k", "CAST(NULL AS DOUBLE) AS loop")
+        .union(state.selectExpr("id", "label", "0D AS w", "k", "loop"))
         .groupBy("id", "label")
-        .agg(F.expr("sum(w) AS w"))
+        .agg(F.expr("sum(w) AS w"), F.expr("max(k) AS k"), F.expr("max(loop) AS loop"))
     )
+    # Only the row of the own community has a loop.
     options = spread_join(links, groups, "label", facts_rows=level.option_rows, by_shuffle=True)
-    own = state.withColumnRenamed("label", "own")
-    options = spread_join(options, own, "id", facts_rows=level.option_rows, by_shuffle=True)
     # A node does not count in the degree of the community it would leave or join.
-    gain = f"w - {resolution!r}D * k * if(label = own, group_k - k, group_k) / {ends!r}D"
+    gain = f"w - {resolution!r}D * k * if(loop IS NOT NULL, group_k - k, group_k) / {ends!r}D"
     choice = (
         options.withColumn("gain", F.expr(gain))
         .groupBy("id")
         .agg(
             F.expr(
                 "min_by(struct(label, members, gain),"
-                " if(label <> own, struct(-gain AS loss, label), NULL)) AS best"
+                " if(loop IS NULL, struct(-gain AS loss, label), NULL)) AS best"
             ),
             F.expr(
-                "max(if(label = own, struct(label, members, gain, w, group_k, k, loop), NULL)) AS now"
+                "max(if(loop IS NOT NULL, struct(label, members, gain, w, group_k, k, loop), NULL)) AS now"
             ),
         )
     )
@@ -140,14 +153,18 @@ def _round(
 
 
 def _settle(
-    level: Level, resolution: float, movers: float, quiet_rounds: int, least_rise: float
+    level: Level,
+    state: DataFrame,
+    resolution: float,
+    movers: float,
+    quiet_rounds: int,
+    least_rise: float,
 ) -> tuple[Saved, float]:
-    """The labels ``(id, label)`` of highest modularity that the rounds pass through.
+    """The labels ``(id, label)`` of highest modularity that the rounds from ``state`` pass through.
 
     Modularity rises by more than ``least_rise`` at least once in ``quiet_rounds``, and it
     is at most 1, so the rounds come to an end.
     """
-    state = level.nodes.frame.selectExpr("id", "id AS label", "k", "loop")
     best, best_q, share = state, float("-inf"), movers
     passed: list[Saved] = []
     quiet = 0
@@ -192,6 +209,35 @@ def _next_level(level: Level, labels: DataFrame) -> Level:
     return upper
 
 
+def _sweep(
+    base: Level, start: DataFrame, first_rise: float, resolution: float, movers: float, quiet_rounds: int, least_rise: float
+) -> Saved:
+    """``(id, root)`` after the levels from ``base`` upwards, its nodes moving from ``start(id, label, k, loop)``."""
+    found = save(base.nodes.frame.selectExpr("id", "id AS root"), "found")
+    level, reached, rise = base, float("-inf"), max(first_rise, least_rise)
+    while level.total > 0:
+        settled, q = _settle(level, start, resolution, movers, quiet_rounds, rise)
+        if q <= reached + least_rise:
+            settled.discard()
+            break
+        if q <= reached + rise:
+            rise = max(rise * FINER, least_rise)
+        reached = q
+        upward = settled.frame.selectExpr("id AS root", "label")
+        followed = spread_join(found.frame, upward, "root", facts_rows=found.rows, by_shuffle=True)
+        onward = save(followed.selectExpr("id", "label AS root"), "found")
+        found.discard()
+        upper = _next_level(level, settled.frame)
+        settled.discard()
+        if level is not base:
+            level.discard()
+        found, level = onward, upper
+        start = level.nodes.frame.selectExpr("id", "id AS label", "k", "loop")
+    if level is not base:
+        level.discard()
+    return found
+
+
 def communities(
     edges: DataFrame,
     nodes: DataFrame | None = None,
@@ -204,27 +250,20 @@ def communities(
     """``(id, name)`` with communities numbered 0, 1, ... by falling size.
 
     ``edges(source, target, weight)`` holds each unordered pair once. A level ends
-    when modularity has not risen by more than ``least_rise`` for ``quiet_rounds``. ``movers`` is the
-    share of nodes that may move in a round; 1 suits sparse graphs and is faster.
+    when modularity has not risen by more than ``SWEEP_RISES`` tell, and in the end ``least_rise``,
+    for ``quiet_rounds``. ``movers`` is the share of nodes that may move in a round; 1 suits sparse
+    graphs and is faster.
     """
     weights = edges.select("source", "target", F.col("weight").cast("double").alias("w"))
     ids = endpoints(edges) if nodes is None else nodes.select("id").union(endpoints(edges))
     level = _level(weights, ids.distinct().select("id", F.lit(0.0).alias("loop")))
-    found = save(level.nodes.frame.selectExpr("id", "id AS root"), "found")
-    reached = float("-inf")
-    while level.total > 0:
-        settled, q = _settle(level, float(resolution), movers, quiet_rounds, least_rise)
-        if q <= reached + least_rise:
-            settled.discard()
-            break
-        reached = q
-        upward = settled.frame.selectExpr("id AS root", "label")
-        followed = spread_join(found.frame, upward, "root", facts_rows=found.rows, by_shuffle=True)
-        onward = save(followed.selectExpr("id", "label AS root"), "found")
-        found.discard()
-        upper = _next_level(level, settled.frame)
-        for done in (settled, level):
-            done.discard()
-        found, level = onward, upper
+    start = save(level.nodes.frame.selectExpr("id", "id AS label", "k", "loop"), "start")
+    for first_rise in SWEEP_RISES:
+        found = _sweep(level, start.frame, first_rise, float(resolution), movers, quiet_rounds, least_rise)
+        start.discard()
+        if first_rise != SWEEP_RISES[-1]:
+            labels = found.frame.selectExpr("id", "root AS label")
+            start = save(level.nodes.frame.join(labels.hint("merge"), "id").select("id", "label", "k", "loop"), "start")
+            found.discard()
     level.discard()
     return number_groups(found, name)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from itertools import product
 
+import numpy as np
 import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
@@ -219,3 +220,22 @@ def test_rounds_of_communities_broadcast_nothing(spark, monkeypatch):
     assert found == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1}
     assert sum("SortMergeJoin" in plan for plan in plans) > 2
     assert not any("BroadcastExchange" in plan for plan in plans)
+
+
+def test_late_rounds_of_levels_are_left_to_a_second_sweep(spark, monkeypatch):
+    """Rounds that hardly raise modularity grew in number with the graph; the result is no worse without them."""
+    rounds = []
+
+    def one_round(*given, known=louvain._round):
+        rounds.append(given)
+        return known(*given)
+
+    monkeypatch.setattr(louvain, "_round", one_round)
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(1500, 32))
+    near = np.argsort(((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2), axis=1)[:, 1:5]
+    pairs = sorted({(min(a, int(b)), max(a, int(b))) for a, row in enumerate(near) for b in row})
+    pairs = [(a, b, 1.0) for a, b in pairs]
+    labels = as_dict(communities(edge_table(spark, pairs)))
+    assert modularity(pairs, labels) > 0.44
+    assert len(rounds) <= 70
