@@ -85,12 +85,13 @@ def _levels(ways: DataFrame, sources: DataFrame) -> list[Saved]:
     start = sources.select(F.col("id").alias("source"), "id", F.lit(1.0).alias("paths"))
     levels = [save(start, "level")]
     while levels[-1].rows:
-        ahead = levels[-1].frame.join(ways, "id").groupBy("source", F.col("other").alias("id"))
-        ahead = ahead.agg(F.sum("paths").alias("paths"))
-        # A neighbour of a level is on it, or on the one before or behind.
+        ahead = levels[-1].frame.join(ways, "id").select("source", F.col("other").alias("id"), "paths", F.lit(False).alias("known"))
+        # A neighbour of a level is on it, or on the one before or behind. One grouping adds up
+        # paths and tells the nodes known.
         for known in levels[-2:]:
-            ahead = ahead.join(known.frame.select("source", "id"), ["source", "id"], "left_anti")
-        levels.append(save(ahead, "level"))
+            ahead = ahead.union(known.frame.select("source", "id", F.lit(0.0), F.lit(True)))
+        met = ahead.groupBy("source", "id").agg(F.sum("paths").alias("paths"), F.max("known").alias("known"))
+        levels.append(save(met.filter(~F.col("known")).drop("known"), "level"))
     levels.pop().discard()
     return levels
 
@@ -114,10 +115,13 @@ def _dependencies(ways: DataFrame, levels: list[Saved]) -> list[DataFrame]:
     for level in reversed(levels[:-1]):
         parts.append(deeper.select("id", "part"))
         share = (1 + F.col("part")) / F.col("paths")
-        given = deeper.join(ways, "id").groupBy("source", F.col("other").alias("id")).agg(F.sum(share).alias("share"))
-        taken = level.frame.join(given, ["source", "id"], "left")
-        part = F.col("paths") * F.coalesce("share", F.lit(0.0))
-        deeper = save(taken.select("source", "id", "paths", part.alias("part")), "parts").frame
+        given = deeper.join(ways, "id").select("source", F.col("other").alias("id"), F.lit(None).cast("double").alias("paths"), share.alias("share"))
+        own = level.frame.select("source", "id", "paths", F.lit(0.0).alias("share"))
+        # Shares given to nodes of other levels have no paths beside them.
+        taken = own.union(given).groupBy("source", "id").agg(F.max("paths").alias("paths"), F.sum("share").alias("share"))
+        part = F.col("paths") * F.col("share")
+        taken = taken.filter("paths IS NOT NULL").select("source", "id", "paths", part.alias("part"))
+        deeper = save(taken, "parts").frame
     # What is left is the level of the sources themselves, which are not between.
     return parts
 

@@ -6,6 +6,7 @@ from collections import defaultdict, deque
 
 import numpy as np
 import pytest
+from conftest import plan_of
 
 from flockscan.operators import centrality
 from flockscan.operators.centrality import betweenness_centrality, eigenvector_centrality
@@ -115,3 +116,20 @@ def test_eigenvector(spark):
     with pytest.raises(RuntimeError, match="rounds"):
         eigenvector_centrality(frame, tolerance=1e-9, max_rounds=2)
     assert eigenvector_centrality(frame.limit(0)).count() == 0
+
+
+def test_a_level_takes_one_join(spark, monkeypatch):
+    """Known nodes are told and shares are added by the grouping; only the step along the edges joins."""
+    plans = []
+
+    def saved(df, label, known=centrality.save, **metrics):
+        if label in ("level", "parts"):
+            plans.append(plan_of(df))
+        return known(df, label, **metrics)
+
+    monkeypatch.setattr(centrality, "save", saved)
+    frame = spark.createDataFrame(graph("path"), SCHEMA)
+    found = {r["id"]: r["betweenness"] for r in betweenness_centrality(frame, normalized=False).collect()}
+    assert found == {f"n{i:02}": i * (6 - i) for i in range(7)}
+    assert len(plans) > 8
+    assert all(plan.count("Join") <= 1 for plan in plans)
