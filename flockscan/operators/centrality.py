@@ -6,17 +6,28 @@ Both work on undirected graphs, ``edges`` holding each unordered pair once, as
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flockscan.operators import paths
 from flockscan.operators.components import component_roots
 from flockscan.operators.graph import endpoints
+from flockscan.operators.skew import number_rows
 from flockscan.storage import Saved, save
 
+# Executors receive the functions below with the plan; they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Pairs of a source and a node that one group of sources reaches, about.
 REACHED_ROWS = 1 << 28
+# Tasks that a sent graph's sources are dealt over, at least.
+PATH_TASKS = 64
 
 
 def _nodes(edges: DataFrame, nodes: DataFrame | None) -> DataFrame:
@@ -126,12 +137,60 @@ def _dependencies(ways: DataFrame, levels: list[Saved]) -> list[DataFrame]:
     return parts
 
 
+def _by_levels(plain: DataFrame, every: Saved, asked: Saved, reached_rows: int) -> DataFrame:
+    """``(id, part)``: the graph stays in its table, and sources go through it in groups."""
+    ways = _ways(plain).frame
+    groups = _group_count(plain, every, asked, reached_rows)
+    parts: list[DataFrame] = []
+    for group in range(groups):
+        levels = _levels(ways, asked.frame.filter(F.pmod(F.xxhash64("id"), F.lit(groups)) == group))
+        if not levels:
+            continue
+        # One row per node is kept of a group.
+        found = reduce(DataFrame.union, _dependencies(ways, levels), ways.limit(0).select("id", F.lit(0.0).alias("part")))
+        parts.append(save(found.groupBy("id").agg(F.sum("part").alias("part")), "between").frame)
+        for level in levels:
+            level.discard()
+    total = reduce(DataFrame.union, parts, ways.limit(0).select("id", F.lit(0.0).alias("part")))
+    return total.groupBy("id").agg(F.sum("part").alias("part"))
+
+
+def _in_tasks(plain: Saved, asked: Saved | None) -> DataFrame:
+    """``(id, part)``: the graph is sent to every task, which goes through it from its own sources."""
+    spark = plain.frame.sparkSession
+    numbered = save(number_rows(endpoints(plain.frame), [F.asc("id")], "number"), "numbers")
+    number = F.col("number").cast("int")
+    source = numbered.frame.select(F.col("id").alias("source"), number.alias("a"))
+    target = numbered.frame.select(F.col("id").alias("target"), number.alias("b"))
+    pairs = plain.frame.join(source, "source").join(target, "target").select("a", "b").toArrow()
+    starts = None
+    if asked is not None:
+        starts = np.asarray(numbered.frame.join(asked.frame, "id", "left_semi").select(number).toArrow()["number"])
+    graph = paths.packed(np.asarray(pairs["a"]), np.asarray(pairs["b"]), numbered.rows, starts)
+    shared = spark.sparkContext.broadcast(vars(graph))
+    batches = max(1, -(-len(graph.sources) // graph.width))
+    tasks = min(batches, max(PATH_TASKS, 4 * spark.sparkContext.defaultParallelism))
+
+    def parts(given):
+        graph = paths.Graph(**shared.value)
+        for rows in given:
+            for task in rows.column("id").to_pylist():
+                part = paths.through(graph, task, tasks)
+                on = np.flatnonzero(part)
+                yield pa.record_batch([pa.array(on), pa.array(part[on])], ["number", "part"])
+
+    found = spark.range(0, tasks, 1, tasks).mapInArrow(parts, "number bigint, part double")
+    total = found.groupBy("number").agg(F.sum("part").alias("part"))
+    return save(total.join(numbered.frame, "number").select("id", "part"), "between").frame
+
+
 def betweenness_centrality(
     edges: DataFrame,
     nodes: DataFrame | None = None,
     sources: DataFrame | None = None,
     normalized: bool = True,
     reached_rows: int = REACHED_ROWS,
+    sent_edges: int = 0,
     name: str = "betweenness",
 ) -> DataFrame:
     """``(id, betweenness)``: the share of shortest paths between other nodes that run through a node.
@@ -142,26 +201,18 @@ def betweenness_centrality(
     estimate. ``normalized`` divides by the number of pairs of other nodes. At most about
     ``reached_rows`` rows are reached by a group: sources are dealt over groups by hash, and a
     source counts with the size of its component. Loops and repeated edges don't matter; nodes
-    without an edge, known only from ``nodes(id)``, have 0.
+    without an edge, known only from ``nodes(id)``, have 0. A graph of at most ``sent_edges`` edges
+    and nodes is sent to every task instead, and its sources are dealt over tasks.
     """
     plain = edges.filter("source <> target").select("source", "target").distinct()
-    ways = _ways(plain).frame
     every = save(_nodes(edges, nodes), "nodes")
     asked = every.frame if sources is None else sources.select("id").distinct().join(every.frame, "id", "left_semi")
     chosen = save(asked, "sources")
-    groups = _group_count(plain, every, chosen, reached_rows)
-    parts: list[DataFrame] = []
-    for group in range(groups):
-        levels = _levels(ways, chosen.frame.filter(F.pmod(F.xxhash64("id"), F.lit(groups)) == group))
-        if not levels:
-            continue
-        # One row per node is kept of a group.
-        found = reduce(DataFrame.union, _dependencies(ways, levels), ways.limit(0).select("id", F.lit(0.0).alias("part")))
-        parts.append(save(found.groupBy("id").agg(F.sum("part").alias("part")), "between").frame)
-        for level in levels:
-            level.discard()
-    total = reduce(DataFrame.union, parts, ways.limit(0).select("id", F.lit(0.0).alias("part")))
-    total = total.groupBy("id").agg(F.sum("part").alias("part"))
+    known = save(plain, "plain") if sent_edges else None
+    if known and max(known.rows, every.rows) <= sent_edges:
+        total = _in_tasks(known, None if sources is None else chosen)
+    else:
+        total = _by_levels(known.frame if known else plain, every, chosen, reached_rows)
     n = every.rows
     scale = n / max(1, chosen.rows)
     # Each unordered pair is met from both of its ends.

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from conftest import plan_of
 
-from flockscan.operators import centrality
+import __spark_entry__ as registered
+from flockscan.operators import centrality, paths
 from flockscan.operators.centrality import betweenness_centrality, eigenvector_centrality
 
 SCHEMA = "source string, target string, weight double"
@@ -133,3 +134,55 @@ def test_a_level_takes_one_join(spark, monkeypatch):
     assert found == {f"n{i:02}": i * (6 - i) for i in range(7)}
     assert len(plans) > 8
     assert all(plan.count("Join") <= 1 for plan in plans)
+
+
+def test_word_betweenness_starts_from_every_word(spark, tmp_path):
+    """A ring of 50 words with a tail: none of its shortest paths is left to an estimate."""
+    names = [f"w{i:02}" for i in range(55)]
+    links = [(i, (i + 1) % 50) for i in range(50)] + [(0, 50), *((i, i + 1) for i in range(50, 54))]
+    texts = [" ".join((names[a], names[b])) for a, b in links for _ in range(registered.WORD_FREQ)]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["id"]: r["betweenness"] for r in registered.word_betweenness(spark, str(tmp_path)).collect()}
+    expected = plain_betweenness([(names[a], names[b], 1.0) for a, b in links], names, names)
+    assert found == pytest.approx({v: x / (54 * 53) for v, x in expected.items()}, abs=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["random", "star", "path", "squares"])
+@pytest.mark.parametrize("few", [False, True])
+def test_betweenness_of_a_sent_graph(spark, kind, few):
+    edges = graph(kind)
+    loops = [(edges[0][0], edges[0][0], 1.0), edges[1], (None, edges[0][0], 1.0)]
+    nodes = sorted({x for e in edges for x in e[:2]} | {"lone"})
+    frame = spark.createDataFrame(edges + loops, SCHEMA).repartition(3)
+    listed = spark.createDataFrame([("lone", 1)], "id string, n int")
+    some = spark.createDataFrame([(s,) for s in nodes[2:7] + ["absent"]], "id string") if few else None
+    by_levels = betweenness_centrality(frame, listed, some).collect()
+    sent = betweenness_centrality(frame, listed, some, sent_edges=1_000)
+    assert sent.columns == ["id", "betweenness"]
+    values = {r["id"]: r["betweenness"] for r in sent.collect()}
+    assert values == pytest.approx({r["id"]: r["betweenness"] for r in by_levels})
+    if not few:
+        assert betweenness_centrality(frame, sent_edges=3).count() == len(values) - ("lone" in values)
+    assert betweenness_centrality(frame.limit(0), sent_edges=3).count() == 0
+
+
+@pytest.mark.parametrize("hub, cached, width", [(64, 1 << 16, 48), (3, 8, 2), (8, 64, 5)])
+def test_paths_of_a_packed_graph(monkeypatch, hub, cached, width):
+    monkeypatch.setattr(paths, "HUB_DEGREE", hub)
+    monkeypatch.setattr(paths, "CACHED_CELLS", cached)
+    monkeypatch.setattr(paths, "SIDE_BY_SIDE", width)
+    rng = np.random.default_rng(hub)
+    for turn in range(40):
+        n = int(rng.integers(2, 50))
+        pairs = {tuple(sorted(p)) for p in rng.integers(0, n, (int(rng.integers(1, 2 * n)), 2)).tolist() if p[0] != p[1]}
+        # Every other time one node is linked with all; else there are trees and components.
+        pairs = sorted(pairs | ({(0, i) for i in range(1, n)} if turn % 2 else {(0, 1)}))
+        names = sorted({x for pair in pairs for x in pair})
+        ends = np.searchsorted(names, np.array(pairs, np.int32)).astype(np.int32)
+        asked = None if turn % 3 else rng.choice(len(names), len(names) // 2 + 1, replace=False)
+        packed = paths.packed(ends[:, 0], ends[:, 1], len(names), asked)
+        found = sum(paths.through(packed, task, 3) for task in range(3))
+        sources = names if asked is None else [names[i] for i in asked]
+        expected = plain_betweenness([(*pair, 1.0) for pair in pairs], names, sources)
+        assert found == pytest.approx([expected[x] for x in names])
