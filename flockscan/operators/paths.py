@@ -121,10 +121,15 @@ def packed(source: np.ndarray, target: np.ndarray, nodes: int, asked: np.ndarray
     every, all_asking = (np.bincount(root, minlength=nodes, weights=x)[root] for x in (np.ones(nodes), own))
     # From a branch to all outside of it, and from outside of the tree into its branches.
     aside = (every - 1) * (asking - own) - crossing + (all_asking - asking) * (weight - 1)
-    # Sources that share their largest neighbour go side by side: they reach the same nodes about together.
+    # Sources that share their largest neighbour, that one's own and so on go side by side: they
+    # reach the same nodes about together.
     sources = np.flatnonzero(asking[number])
     if len(sources):
-        sources = sources[np.argsort(np.minimum.reduceat(ends, at[:-1])[sources], kind="stable")]
+        up = np.minimum(np.minimum.reduceat(ends, at[:-1]), np.arange(len(number)))
+        kin = [up]
+        for _ in range(3):
+            kin.append(up[kin[-1]])
+        sources = sources[np.lexsort([of[sources] for of in kin])]
     return Graph(ends, at, degree, number, weight[number], sources, asking[number][sources], aside)
 
 
@@ -178,7 +183,9 @@ def _stepped(graph: Graph, values: np.ndarray, rows: np.ndarray, to: np.ndarray,
 def _one_batch(graph: Graph, batch: slice, scratch: list[np.ndarray]) -> np.ndarray:
     """What of the shortest paths from the sources of a batch runs through each node, ends left out."""
     sources = graph.sources[batch]
-    paths, here, there, level = (matrix[:, : len(sources)] for matrix in scratch)
+    # Rows stay side by side in memory: values of a cut matrix would be copied whole whenever some are taken.
+    cells = len(graph.number) * len(sources)
+    paths, here, there, level = (flat[:cells].reshape(-1, len(sources)) for flat in scratch)
     for matrix in (paths, here, there):
         matrix.fill(0)
     level.fill(-1)
@@ -200,8 +207,9 @@ def _one_batch(graph: Graph, batch: slice, scratch: list[np.ndarray]) -> np.ndar
             if whole:
                 left.append(some[(known == 0).any(axis=1)])
             any_fresh = fresh.any(axis=1)
-            some, fresh = some[any_fresh], fresh[any_fresh]
-            there[some] = got[any_fresh]
+            if not any_fresh.all():
+                some, fresh, got = some[any_fresh], fresh[any_fresh], got[any_fresh]
+            there[some] = got
             level[some] = np.where(fresh, len(met), level[some])
             found.append(some)
         here[rows] = 0
@@ -232,7 +240,7 @@ def _one_batch(graph: Graph, batch: slice, scratch: list[np.ndarray]) -> np.ndar
 def through(graph: Graph, task: int, tasks: int) -> np.ndarray:
     """By number, what of the shortest paths from a task's sources runs through each node."""
     width, nodes = graph.width, len(graph.number)
-    scratch = [np.empty((nodes, width), kind) for kind in (float, float, float, np.int32)]
+    scratch = [np.empty(nodes * width, kind) for kind in (float, float, float, np.int32)]
     total = np.zeros(nodes)
     for x in range(task * width, len(graph.sources), tasks * width):
         total += _one_batch(graph, slice(x, x + width), scratch)
