@@ -202,14 +202,14 @@ def betweenness_centrality(
     ``reached_rows`` rows are reached by a group: sources are dealt over groups by hash, and a
     source counts with the size of its component. Loops and repeated edges don't matter; nodes
     without an edge, known only from ``nodes(id)``, have 0. A graph of at most ``sent_edges`` edges
-    and nodes is sent to every task instead, and its sources are dealt over tasks.
+    and a quarter as many nodes is sent to every task instead, and its sources are dealt over tasks.
     """
     plain = edges.filter("source <> target").select("source", "target").distinct()
     every = save(_nodes(edges, nodes), "nodes")
     asked = every.frame if sources is None else sources.select("id").distinct().join(every.frame, "id", "left_semi")
     chosen = save(asked, "sources")
     known = save(plain, "plain") if sent_edges else None
-    if known and max(known.rows, every.rows) <= sent_edges:
+    if known and max(known.rows, 4 * every.rows) <= sent_edges:
         total = _in_tasks(known, None if sources is None else chosen)
     else:
         total = _by_levels(known.frame if known else plain, every, chosen, reached_rows)
